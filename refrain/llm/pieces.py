@@ -216,7 +216,7 @@ class Pieces:
         ends = source[to[row] + stop]
         for i in wrong:
             at = slice(int(first[i]), int(first[i] + counts[i]))
-            found = self.sp.encode(texts[i], out_type="immutable_proto").pieces
+            found = self.sp.encode(texts[i], out_type="proto").pieces
             place = np.concatenate(([0], np.cumsum([len(c.encode()) for c in texts[i]])))
             begins[at] = [place[p.begin] for p in found]
             ends[at] = [place[p.end] for p in found]

@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,8 +41,8 @@ from .common import col, doc_hash, pieces
 
 MIN_WORDS = 50
 #: Windows that one hash range holds at about most, and that a task packs at a time.
-RANGE = 2_000_000
-PACK = 2_000_000
+RANGE = 1_500_000
+PACK = 1_000_000
 _REPEATS = "id long, h long, start int, n_words int, first_id long, first_h long, first_start int"
 
 
@@ -112,15 +113,27 @@ def _keys(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _probes(block: int, min_words: int, ranges: int):
-    """Packs the rolling windows of block words of every text that can hold a repeat."""
+    """Packs the rolling windows of block words of every text that can hold a repeat.
+
+    Texts are packed in bundles. In a bundle a window is its place among all its words, and the lowest bit of its hash
+    says whether it is a reference block. The bundle's own table of texts goes to one range, which passes it on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size = texts = 0
+        size = words_before = 0
 
         def out() -> pa.RecordBatch:
-            columns = [np.concatenate([h[i] for h in held]) for i in range(7)]
-            return _blobs(*columns)
+            group, place, value, ids, hs, null, count = (np.concatenate([h[i] for h in held]) for i in range(7))
+            bundle = int(np.bitwise_xor.reduce(B.mix(hs.view(np.uint64) + B.mix(ids.view(np.uint64)) + np.arange(len(ids), dtype=np.uint64))).view(np.int64))
+            order = np.argsort(group.astype(np.uint16) if ranges <= 1 << 16 else group, kind="stable")
+            group, place, value = group[order], place[order], value[order]
+            begin = np.flatnonzero(np.diff(group, prepend=-1))
+            rows = [(int(group[a]), bundle, _pack(place[a:b]), value[a:b].tobytes(), None) for a, b in zip(begin, np.append(begin[1:], len(group)))]
+            texts = np.zeros(len(ids), _TEXT)
+            texts["id"], texts["h"], texts["null"], texts["words"] = ids, hs, null, count
+            rows.append((bundle % ranges, bundle, None, None, texts.tobytes()))
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["q", "bundle", "place", "hashes", "texts"])
 
         for batch in batches:
             for piece in pieces(batch, 2):
@@ -130,36 +143,66 @@ def _probes(block: int, min_words: int, ranges: int):
                     count = np.bincount(row, minlength=piece.num_rows)
                     ok = (row[: len(w)] == row[block - 1 :]) & (count[row[: len(w)]] >= min_words)
                     w = w[ok]
-                    group = ((w >> np.uint64(32)) % np.uint64(ranges)).astype(np.int64)
-                    held.append((group, row[: len(ok)][ok] + texts, index[: len(ok)][ok], w.astype("<u4"), *_keys(piece)))
-                    size, texts = size + len(w), texts + piece.num_rows
+                    value = (w.astype("<u4") & ~np.uint32(1)) | (index[: len(ok)][ok] % block == 0)
+                    group = ((w >> np.uint64(32)) % np.uint64(ranges)).astype(np.int32)
+                    held.append((group, (np.flatnonzero(ok) + words_before).astype(np.int32), value.astype("<u4"), *_keys(piece), count))
+                    size, words_before = size + len(w), words_before + len(words)
                 if size >= PACK:
                     yield out()
-                    held, size, texts = [], 0, 0
+                    held, size, words_before = [], 0, 0
         if size:
             yield out()
 
     return run
 
 
-def _hits(block: int):
-    """Windows of a hash range that equal some reference block other than themselves, packed by text."""
+_TEXT = np.dtype([("id", "<i8"), ("h", "<i8"), ("null", "u1"), ("words", "<i4")])
+
+
+def _hits(table: pa.Table) -> pa.Table:
+    """Windows of a hash range that equal some reference block other than themselves, packed by bundle."""
+    packed = table.filter(pc.is_valid(table.column("place")))
+    passed = table.filter(pc.is_valid(table.column("texts"))).select(["bundle", "texts"])
+    places = [_unpack(x) for x in packed.column("place").to_pylist()]
+    counts = np.array([len(x) for x in places], np.int64)
+    place = np.concatenate(places or [np.zeros(0, np.int64)]).astype(np.int32)
+    value = np.frombuffer(B.flat(packed.column("hashes"))[0].tobytes(), "<u4")
+    bundle = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    order = np.argsort(value >> 1)
+    value = value[order]
+    begin = np.flatnonzero(np.concatenate(([True], value[1:] >> 1 != value[:-1] >> 1))) if len(value) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(value)))
+    found = (size > 1) & (np.maximum.reduceat(value & 1, begin) == 1) if len(begin) else np.zeros(0, bool)
+    hit = order[np.repeat(found, size)]
+    hit = hit[np.argsort(bundle[hit], kind="stable")]
+    first = np.flatnonzero(np.diff(bundle[hit], prepend=-1))
+    names = packed.column("bundle").to_numpy()
+    where = pa.table({
+        "bundle": pa.array(names[bundle[hit[first]]], pa.int64()),
+        "hits": pa.array([np.sort(place[hit[a:b]]).astype("<i4").tobytes() for a, b in zip(first, np.append(first[1:], len(hit)))], pa.binary()),
+        "texts": pa.nulls(len(first), pa.binary()),
+    })
+    return pa.concat_tables([where, pa.table({"bundle": passed.column("bundle"), "hits": pa.nulls(passed.num_rows, pa.binary()), "texts": passed.column("texts").cast(pa.binary())})])
+
+
+def _by_text(table: pa.Table) -> pa.Table:
+    """Hits of a bundle as places in its texts."""
+    texts = np.frombuffer(b"".join(x for x in table.column("texts").to_pylist() if x)[: _longest(table)], _TEXT)
+    place = np.unique(np.frombuffer(b"".join(x for x in table.column("hits").to_pylist() if x), "<i4"))
+    first = np.cumsum(texts["words"]) - texts["words"]
+    at = np.searchsorted(first, place, "right") - 1
+    begin = np.flatnonzero(np.diff(at, prepend=-1))
+    t = texts[at[begin]]
+    pos = (place - first[at]).astype("<i4")
+    return pa.table({
+        "id": pa.array(t["id"], pa.int64(), mask=t["null"] == 1), "h": pa.array(t["h"], pa.int64()),
+        "hits": pa.array([pos[a:b].tobytes() for a, b in zip(begin, np.append(begin[1:], len(place)))], pa.binary()),
+    })
 
-    def run(table: pa.Table) -> pa.Table:
-        t = _Texts(table, "<u4")
-        order = np.argsort(t.hash, kind="stable")
-        value = t.hash[order]
-        begin = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1]))) if len(value) else np.zeros(0, np.int64)
-        size = np.diff(np.append(begin, len(value)))
-        found = (size > 1) & np.logical_or.reduceat(t.pos[order] % block == 0, begin) if len(begin) else np.zeros(0, bool)
-        hit = order[np.repeat(found, size)]
-        hit = hit[np.lexsort((t.pos[hit], t.rank[hit]))]
-        first = np.flatnonzero(np.diff(t.rank[hit], prepend=-1))
-        pos = t.pos[hit].astype("<i4")
-        packed = [pos[a:b].tobytes() for a, b in zip(first, np.append(first[1:], len(hit)))]
-        return pa.table({**t.columns(t.rank[hit[first]]), "hits": pa.array(packed, pa.binary())})
 
-    return run
+def _longest(table: pa.Table) -> int:
+    """Bytes of one table of texts: a bundle of the very same rows, packed twice, has the same name and the same table."""
+    return max((len(x) for x in table.column("texts").to_pylist() if x), default=0)
 
 
 def _extended(block: int, min_words: int, ranges: int):
@@ -179,7 +222,7 @@ def _extended(block: int, min_words: int, ranges: int):
                 hits = piece.column(3).to_pylist()
                 n = np.bincount(row, minlength=piece.num_rows)
                 first = np.concatenate(([0], np.cumsum(n)[:-1]))
-                at = [first[i] + np.unique(np.frombuffer(b"".join(h), "<i4")) for i, h in enumerate(hits) if h]
+                at = [first[i] + np.frombuffer(h, "<i4") for i, h in enumerate(hits) if h]
                 if not at or len(words) < min_words:
                     continue
                 at = np.concatenate(at).astype(np.int64)
@@ -244,9 +287,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     # a range's share follows from the corpus itself: about six bytes to a word
     total = side.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, math.ceil(total / 6 / RANGE))
-    probes = side.where("text is not null").mapInArrow(_probes(block, min_words, ranges), _BLOBS)
-    hits = probes.groupBy("q").applyInArrow(_hits(block), "id long, h long, hits binary")
-    by_text = hits.groupBy("id", "h").agg(F.collect_list("hits").alias("hits"))
+    probes = side.where("text is not null").mapInArrow(_probes(block, min_words, ranges), "q long, bundle long, place binary, hashes binary, texts binary")
+    hits = probes.groupBy("q").applyInArrow(_hits, "bundle long, hits binary, texts binary")
+    # rows with equal id and text have equal hits
+    by_text = hits.groupBy("bundle").applyInArrow(_by_text, "id long, h long, hits binary").groupBy("id", "h").agg(F.first("hits").alias("hits"))
     right = by_text.hint("shuffle_hash").withColumnsRenamed({"id": "hid", "h": "hh"})
     around = side.join(right, _same(F.col("id"), F.col("hid")) & (F.col("h") == F.col("hh"))).select("id", "h", "text", "hits")
     found = around.mapInArrow(_extended(block, min_words, ranges), _BLOBS).groupBy("q").applyInArrow(_first, _REPEATS.replace("n_words", "n"))
