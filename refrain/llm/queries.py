@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import packing, pieces, quality, simhash, substring, tokenorc, toxicity, urlfilter
 from .common import read
 
@@ -51,5 +53,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_substring_dedup": op10_substring_dedup,
+    "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL: dict[str, str] = {"op1_url_filters": urlfilter.oracle()}
+ORACLE_SQL: dict[str, str] = {"op1_url_filters": urlfilter.oracle(), **corpus_pipeline.ORACLE_SQL}
