@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
+
 
 def repeats(rows: list[tuple], min_words: int) -> set[tuple]:
     """{(id, start, n_words, first_id, first_start)} by comparing all windows of words."""
@@ -26,3 +29,20 @@ def repeats(rows: list[tuple], min_words: int) -> set[tuple]:
         if run:
             out.add((i, run[0], run[2] - 1 + min_words, run[1][0], run[1][2]))
     return out
+
+
+def alike(rows: list[tuple], least: float) -> list[tuple]:
+    """Pairs of ids whose sets of lower-case word 3-grams have a Jaccard similarity of at least least; counts by shared 3-grams, none left out."""
+    grams, by = {}, defaultdict(list)
+    for i, t in rows:
+        words = re.findall(r"\w+", t.lower())
+        grams[i] = {tuple(words[p : p + 3]) for p in range(len(words) - 2)}
+    out = []
+    for i, mine in grams.items():
+        shared: dict = defaultdict(int)
+        for g in mine:
+            for other in by[g]:
+                shared[other] += 1
+            by[g].append(i)
+        out += [(o, i) for o, n in shared.items() if n >= least * (len(mine) + len(grams[o]) - n)]
+    return out
