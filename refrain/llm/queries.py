@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import packing, pieces, quality, simhash, substring, tokenorc, toxicity, urlfilter
+from . import lattice, packing, pieces, quality, simhash, substring, tokenorc, toxicity, urlfilter
 from .common import read
 
 
@@ -16,6 +16,10 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.match(read(spark, sf_dir, "pages"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_pairs(read(spark, sf_dir, "embeddings"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(read(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_toxicity": op4_toxicity,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
