@@ -11,8 +11,9 @@ Candidates come from multi-index hashing: sixteen segments of 24 bits are taken
 from the fingerprint, two bytes apart and round its end; every fingerprint
 enters the table of each segment under all values within Hamming distance one of
 its own, so two fingerprints meet whenever some segment differs in at most two
-bits, and their complete distance is then verified. Up to 15 bits this finds
-every pair; at the default radius single pairs can be missed. The tests hold
+bits, and their complete distance is then verified. Up to 23 bits this finds
+every pair (sixteen segments with three bits each make 48, and a bit is in two
+segments at most); at the default radius single pairs can be missed. The tests hold
 the search against all pairs of fingerprints at exactly the radius (recall at
 least 0.9), and the groups against word 3-gram Jaccard similarity by brute
 force.
