@@ -14,7 +14,8 @@ Defined results: a null URL has a null canonical form, matches no rule and isn't
 blocked; an empty one is matched by ``*`` alone. A URL is blocked when a block
 rule matches and no allow rule does. Repeated rows get equal results, ids may be
 null, very long URLs are read to their end, other columns are never looked at,
-and an empty table gives an empty result.
+and an empty table gives an empty result. Rules whose names repeat or hold a
+comma are an error.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ _CANON = (
     (r"^[a-z][a-z0-9+.-]*://", ""),
     (r"^[^/?]*@", ""),
     (r"^([^/?:]*):(?:80|443)([/?]|$)", "$1$2"),
-    (r"utm_[a-z]+=[^&]*(&|$)", ""),
+    (r"([?&])(?:utm_[a-z]+=[^&]*(?:&|$))+", "$1"),
     (r"[?&]+$", ""),
     (r"/+$", ""),
 )
@@ -122,14 +123,17 @@ class Automaton:
 
 def _matches(rules: tuple[tuple[str, str, str], ...]):
     rules = tuple(sorted(rules))
+    if any("," in r[0] for r in rules) or len({r[0] for r in rules}) < len(rules):
+        raise ValueError("rule names must differ and hold no comma")
     automaton = Automaton([r[2] for r in rules])
     names = np.array([r[0] for r in rules], object)
     allow = np.array([r[1] == "allow" for r in rules], bool)
+    rows = max(1, min(2048, (1 << 20) // automaton.words))  # bounds the states held at once, however many rules
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 2048):
-                piece = batch.slice(a, 2048)
+            for a in range(0, batch.num_rows, rows):
+                piece = batch.slice(a, rows)
                 urls = piece.column(1).to_pylist()
                 hit = automaton.run([u or "" for u in urls])
                 hit[[u is None for u in urls]] = False
@@ -156,7 +160,7 @@ def oracle(rules: tuple[tuple[str, str, str], ...] = RULES) -> str:
     values = ", ".join(f"('{r}', '{a}', '{g}')" for r, a, g in rules)
     return f"""
         with canon as (select row_number() over () as r, page_id, {url} as canonical_url from pages),
-        hits as (select c.r, v.rule, v.action from canon c join (values {values}) v(rule, action, glob) on c.canonical_url glob v.glob)
+        hits as (select c.r, v.rule, v.action from canon c join (values {values}) v(rule, action, pat) on c.canonical_url glob v.pat)
         select any_value(c.page_id) as page_id, any_value(c.canonical_url) as canonical_url, coalesce(string_agg(h.rule, ',' order by h.rule), '') as rules,
             count(h.rule)::int as n_rules, coalesce(bool_or(h.action = 'block') and not bool_or(h.action = 'allow'), false) as blocked
         from canon c left join hits h on c.r = h.r group by c.r

@@ -1,7 +1,10 @@
 import re
 from itertools import product
 
+import __spark_entry__
+import duckdb
 import numpy as np
+import pytest
 from refrain.llm import urlfilter as U
 
 
@@ -38,3 +41,19 @@ def test_bits_over_word_borders():
     long = "a" * 200
     got = U.Automaton([long, long + "*", "b", "*" + long]).run([long, long[1:], "b" + long, long + "b"])
     assert np.array_equal(got, [[1, 1, 0, 1], [0, 0, 0, 0], [0, 0, 0, 1], [0, 1, 0, 0]])
+
+
+def test_names_that_would_make_rules_ambiguous(spark):
+    df = spark.createDataFrame([(1, "a")], "page_id long, url string")
+    for rules in ((("a,b", "block", "*"),), (("a", "block", "*"), ("a", "allow", "*"))):
+        with pytest.raises(ValueError):
+            U.match(df, rules=rules)
+
+
+def test_query_equals_its_sql(spark, sf):
+    db = duckdb.connect()
+    db.sql(f"create view pages as select * from read_parquet('{sf}/pages.parquet')")
+    got = __spark_entry__.queries()["op1_url_filters"](spark, sf).collect()
+    columns = got[0].__fields__
+    want = db.sql(f"select {', '.join(columns)} from ({__spark_entry__.oracle_sql()['op1_url_filters']}) x").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) == 50
