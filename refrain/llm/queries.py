@@ -21,7 +21,7 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(read(spark, sf_dir, "documents"))
+    return pieces.encode(read(spark, sf_dir, "documents"), rule="nfkc")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
