@@ -65,7 +65,14 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     return rows.sortWithinPartitions("doc_id").mapInArrow(_tokens(ranks), SCHEMA)
 
 
-def write(tokens: DataFrame, path: str, stripe_bytes: int = STRIPE_BYTES, index_rows: int = INDEX_ROWS) -> None:
+def write(tokens: DataFrame, path: str, stripe_bytes: int = STRIPE_BYTES, index_rows: int = INDEX_ROWS, ranges: int = 0) -> None:
+    """Writes the table. ranges > 0 shuffles the rows into so many files of ids that don't overlap, so that statistics
+    alone prune files; otherwise files are as the input's partitions and Bloom filters prune them. A row group has at
+    least 1000 rows, which ORC asks for."""
+    if index_rows < 1000:
+        raise ValueError("ORC refuses row groups of fewer than 1000 rows")
+    if ranges > 0:
+        tokens = tokens.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id")
     options = {"orc.stripe.size": stripe_bytes, "orc.create.index": "true", "orc.row.index.stride": index_rows, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "compression": "zstd"}
     tokens.write.options(**options).orc(path)
 
