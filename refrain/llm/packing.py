@@ -1,6 +1,7 @@
 """Best-fit packing of documents into sequences of a fixed capacity.
 
-A document's length is its number of words (maximal runs of non-white-space).
+A document's length is its number of words (maximal runs of non-white-space), or
+what a column of the caller's says, such as op7's token counts.
 Documents longer than the capacity are cut into pieces of the full capacity and
 a rest; a full piece is a bin of its own. The other pieces are planned on the
 histogram of their lengths alone, whose size is bounded by the capacity
@@ -18,7 +19,8 @@ numbered within their length in a fixed order and looked up by binary search.
 The numbering is spread over slices of each length, so that a frequent length
 doesn't fall to one task.
 
-Defined results: null, empty and blank texts have length 0 and are in no bin.
+Defined results: null, empty and blank texts have length 0 and are in no bin, nor
+are rows whose given length is null or below 1.
 Repeated rows are pieces each on their own; which of equal pieces goes where is
 the same in every run for the same rows. Null ids are allowed. Other columns
 are never looked at. An empty table gives an empty result.
@@ -51,23 +53,25 @@ class _Available:
         self._index()
 
     def _index(self) -> None:
-        """Which sums two available lengths make. Counts only fall, so an old index says too much, never too little."""
+        """Which sums two and three available lengths make. Counts only fall, so an old index says too much, never too little."""
         there = self.count > 0
         bits = int.from_bytes(np.packbits(there, bitorder="little").tobytes(), "little")
         pairs = 0
-        for a in np.flatnonzero(there):
-            pairs |= bits << int(a)
         size = self.capacity + 1
-        raw = (pairs & ((1 << size) - 1)).to_bytes((size + 7) // 8, "little")
-        self.pair = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")[:size].astype(bool)
+        for a in np.flatnonzero(there).tolist():
+            pairs |= bits << a
+        pairs &= (1 << size) - 1
+        triples = 0
+        for a in np.flatnonzero(there).tolist():
+            triples |= pairs << a
+        sums = [np.unpackbits(np.frombuffer((x & ((1 << size) - 1)).to_bytes((size + 7) // 8, "little"), np.uint8), bitorder="little")[:size].astype(bool) for x in (pairs, triples)]
+        self.pair, self.triple = sums
 
     def _two(self, total: int, spare: int = 0) -> tuple[int, int] | None:
         """The pair of this sum with the longest member; spare is a length of which one is in use."""
         a = np.arange((total + 1) // 2, total)
-        left = self.count.copy()
-        if spare:
-            left[spare] -= 1
-        ok = (left[a] > 0) & (left[total - a] > (a == total - a))
+        b = total - a
+        ok = (self.count[a] > (a == spare)) & (self.count[b] - (b == spare) > (a == b))
         at = np.flatnonzero(ok)
         return (int(a[at[-1]]), int(total - a[at[-1]])) if len(at) else None
 
@@ -79,6 +83,8 @@ class _Available:
             return (gap,)
         if gap >= 2 and self.pair[gap] and (two := self._two(gap)):
             return two
+        if gap < 3 or not self.triple[gap]:
+            return None
         first = np.arange(gap - 2, 0, -1)
         for c in first[(self.count[first] > 0) & self.pair[gap - first]]:
             if two := self._two(gap - int(c), int(c)):
@@ -181,12 +187,12 @@ def _assign(where: dict[str, np.ndarray]):
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """(bin_id, doc_id, piece, length, bin_offset): words [piece * capacity, + length) of a document stand at bin_offset of a bin.
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, length_col: str | None = None) -> DataFrame:
+    """(bin_id, doc_id, piece, length, bin_offset): words (or what length_col counts) [piece * capacity, + length) of a document stand at bin_offset of a bin.
 
     Bins of the plan come first; full pieces of long documents follow, each in a bin of its own."""
     text = col(docs, text_col)
-    words = F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
+    words = F.coalesce(F.regexp_count(text, F.lit(r"\S+")) if length_col is None else col(docs, length_col), F.lit(0)).cast("long")
     # the lengths are few bytes a document and are read several times
     sized = cut(docs.select(col(docs, id_col).cast("long").alias("doc_id"), doc_hash(text).alias("h"), words.alias("words")).where("words > 0"))
     rest = sized.withColumn("length", (F.col("words") % capacity).cast("int")).where("length > 0").withColumn("piece", F.floor(F.col("words") / capacity).cast("int"))
