@@ -1,14 +1,14 @@
 """Exact repeated passages by fixed-block anchors.
 
-Words are maximal runs of bytes other than ASCII white space, compared byte by
-byte. A window is ``min_words`` (L) consecutive words of one text; it is a
+Words are maximal runs of bytes other than ASCII white space; windows of words
+are equal when the 64-bit hashes of their bytes are. A window is ``min_words`` (L) consecutive words of one text; it is a
 repeat when an equal window comes earlier, in the order of (id, hash of the
 text, position), nulls last. A repeat in the result is a maximal run of such
 windows whose first occurrences run in step: words [start, start + n_words) of
 a text equal words [first_start, ...) of the text where they first occur.
 
 Search: every text is cut into non-overlapping reference blocks of
-``block = L // 2`` words, and every rolling window of block words probes them.
+``block = (L + 1) // 2`` words, and every rolling window of block words probes them.
 As L >= 2 * block - 1, any repeat of L words holds a whole block of its other
 occurrence. Probes and blocks meet by hash, packed as arrays of 32-bit hashes
 and positions for each of as many hash ranges as the corpus needs, which is
@@ -33,6 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,16 +116,17 @@ def _keys(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _probes(block: int, min_words: int, ranges: int):
     """Packs the rolling windows of block words of every text that can hold a repeat.
 
-    Texts are packed in bundles. In a bundle a window is its place among all its words, and the lowest bit of its hash
+    Texts are packed in bundles, named by partition and number. In a bundle a window is its place among all its words, and the lowest bit of its hash
     says whether it is a reference block. The bundle's own table of texts goes to one range, which passes it on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size = words_before = 0
+        size = words_before = made = 0
+        partition = TaskContext.get().partitionId() << 32
 
         def out() -> pa.RecordBatch:
             group, place, value, ids, hs, null, count = (np.concatenate([h[i] for h in held]) for i in range(7))
-            bundle = int(np.bitwise_xor.reduce(B.mix(hs.view(np.uint64) + B.mix(ids.view(np.uint64)) + np.arange(len(ids), dtype=np.uint64))).view(np.int64))
+            bundle = partition + made
             order = np.argsort(group.astype(np.uint16) if ranges <= 1 << 16 else group, kind="stable")
             group, place, value = group[order], place[order], value[order]
             begin = np.flatnonzero(np.diff(group, prepend=-1))
@@ -149,7 +151,7 @@ def _probes(block: int, min_words: int, ranges: int):
                     size, words_before = size + len(w), words_before + len(words)
                 if size >= PACK:
                     yield out()
-                    held, size, words_before = [], 0, 0
+                    held, size, words_before, made = [], 0, 0, made + 1
         if size:
             yield out()
 
@@ -187,7 +189,7 @@ def _hits(table: pa.Table) -> pa.Table:
 
 def _by_text(table: pa.Table) -> pa.Table:
     """Hits of a bundle as places in its texts."""
-    texts = np.frombuffer(b"".join(x for x in table.column("texts").to_pylist() if x)[: _longest(table)], _TEXT)
+    texts = np.frombuffer(b"".join(x for x in table.column("texts").to_pylist() if x), _TEXT)
     place = np.unique(np.frombuffer(b"".join(x for x in table.column("hits").to_pylist() if x), "<i4"))
     first = np.cumsum(texts["words"]) - texts["words"]
     at = np.searchsorted(first, place, "right") - 1
@@ -200,11 +202,6 @@ def _by_text(table: pa.Table) -> pa.Table:
     })
 
 
-def _longest(table: pa.Table) -> int:
-    """Bytes of one table of texts: a bundle of the very same rows, packed twice, has the same name and the same table."""
-    return max((len(x) for x in table.column("texts").to_pylist() if x), default=0)
-
-
 def _extended(block: int, min_words: int, ranges: int):
     """Packs all windows of min_words words around the hits of a text, in the range of the least hit in each."""
     reach = min_words - block
