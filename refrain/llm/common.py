@@ -13,13 +13,19 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; only where it is unset, as in tests, a folder of our own."""
+    """The folder that spark.checkpoint.dir names; where it is unset in local mode, as in tests, a folder of our own.
+
+    On a cluster an unset folder is an error: no machine's own folder is readable by the others."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="refrain-checkpoint-"))
+    if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="refrain-checkpoint-")
+    sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
 

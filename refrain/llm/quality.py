@@ -17,7 +17,9 @@ Defined results: null, empty and blank texts score 0 and are rejected. A text
 none of whose terms is known has no similar neighbour and scores 0.5; it is
 kept. Without labelled rows of both classes every text with a word scores 1.
 Rows are scored one by one: repeated rows get equal scores, ids may be null, and
-other columns pass through. An empty table gives an empty result.
+other columns pass through. Labels name documents by doc_id; an id with several
+labels has the least, and labels other than 0 and 1 are none. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -118,9 +120,9 @@ def _sampled(labels: DataFrame, label: str, bound: int) -> DataFrame:
     return half[0].unionAll(half[1])
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, bound: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, label, text) of the sample; its size is at most bound, so it is broadcast."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    texts = docs.select(col(docs, id_col).cast("long").alias("doc_id"), col(docs, text_col).alias("text")).where("text is not null")
     return texts.join(F.broadcast(_sampled(labels.select(F.col("doc_id").cast("long").alias("doc_id"), label), label, bound)), "doc_id").select("doc_id", "label", "text")
 
 
@@ -135,9 +137,9 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], ["doc_id", "label", "at", "n"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = MAX_LABELLED, dims: int = DIMS, neighbours: int = NEIGHBOURS) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = MAX_LABELLED, dims: int = DIMS, neighbours: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
     """The model of a bounded sample of labelled rows; None without rows of both classes."""
-    rows = labelled_texts(docs, labels, label, max_labelled).mapInArrow(_sparse, "doc_id long, label int, at binary, n binary").toPandas()
+    rows = labelled_texts(docs, labels, label, max_labelled, id_col, text_col).mapInArrow(_sparse, "doc_id long, label int, at binary, n binary").toPandas()
     rows = rows[rows.n.str.len() > 0].drop_duplicates(["doc_id", "at", "n"]).sort_values(["doc_id", "at", "n"])
     if rows.label.nunique() < 2:
         return None
@@ -190,13 +192,13 @@ def scored(text: Column, model: Model | None) -> Column:
 
 def classify(docs: DataFrame, labels: DataFrame, training_docs: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """(doc_id, quality_score, kept) for each row of docs."""
-    model = fit(training_docs if training_docs is not None else docs, labels, max_labelled=max_labelled)
+    model = fit(training_docs if training_docs is not None else docs, labels, max_labelled=max_labelled, id_col=id_col, text_col=text_col)
     out = docs.select(col(docs, id_col).cast("long").alias("doc_id"), scored(col(docs, text_col), model).alias("quality_score"))
     return out.withColumn("kept", F.col("quality_score") >= threshold)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, training_docs: DataFrame | None = None, text_col: str = "text", threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, training_docs: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """docs without the rows that score below the threshold, all columns as they were."""
-    model = fit(training_docs if training_docs is not None else docs, labels, max_labelled=max_labelled)
+    model = fit(training_docs if training_docs is not None else docs, labels, max_labelled=max_labelled, id_col=id_col, text_col=text_col)
     score = fresh(docs, "quality_score")
     return docs.withColumn(score, scored(col(docs, text_col), model)).where(F.col(score) >= threshold).drop(score)

@@ -122,10 +122,12 @@ def _undisguised(low: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     single = (ends - starts == 1) & _LETTER[out[starts]] if len(starts) else np.zeros(0, bool)
     link = single[1:] & single[:-1] & (row[1:] == row[:-1])
     if link.any():
-        runs = np.flatnonzero(np.diff(np.concatenate(([0], link.astype(np.int8), [0]))))
-        for a, b in runs.reshape(-1, 2):
-            if b - a >= 2:
-                keep[starts[a] + 1 : starts[b]] = False
+        a, b = np.flatnonzero(np.diff(np.concatenate(([0], link.astype(np.int8), [0])))).reshape(-1, 2).T
+        a, b = a[b - a >= 2], b[b - a >= 2]
+        inside = np.zeros(n + 1, np.int32)
+        inside[starts[a] + 1] += 1
+        inside[starts[b]] -= 1
+        keep &= (np.cumsum(inside)[:-1] == 0) | ~B.SPACE[out]
     kept = np.concatenate(([0], np.cumsum(keep)))
     return out[keep], kept[offs], starts
 
@@ -152,10 +154,11 @@ def features(data: np.ndarray, offs: np.ndarray, lexicon: np.ndarray, person: np
     kinds = _per(pairs[0].astype(np.int64), n)
     disguised = np.maximum(0, _per(t.clear_row[_member(t.clear, lexicon)], n) - hits)
     second = _member(t.words, person)
-    near = np.zeros(len(t.row), bool)
-    for i in np.flatnonzero(hit):  # hits are few
-        a, b = max(0, i - REACH), i + REACH + 1
-        near[i] = bool((second[a:b] & (t.row[a:b] == t.row[i])).any())
+    # second persons up to each word; a hit's reach ends with its text
+    upto = np.concatenate(([0], np.cumsum(second)))
+    edge = np.searchsorted(t.row, np.arange(n + 1))
+    index = np.arange(len(t.row))
+    near = hit & (upto[np.minimum(index + REACH + 1, edge[t.row + 1])] > upto[np.maximum(index - REACH, edge[t.row])])
     at = np.repeat(np.arange(n), np.diff(offs))
     before, after = np.zeros(len(low), np.uint8), np.zeros(len(low), np.uint8)
     before[1:], after[:-1] = low[:-1], low[1:]
@@ -300,10 +303,10 @@ def _featured(lexicon: np.ndarray, person: np.ndarray):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, support: int = SUPPORT, odds: float = ODDS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, support: int = SUPPORT, odds: float = ODDS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """The model of a bounded sample of labelled rows."""
     part = F.pmod(F.xxhash64(F.lit("part"), F.col("doc_id")), F.lit(10)).cast("int")
-    sample = cut(labelled_texts(docs, labels, "toxic", max_labelled).select(part.alias("part"), "label", "text"))
+    sample = cut(labelled_texts(docs, labels, "toxic", max_labelled, id_col, text_col).select(part.alias("part"), "label", "text"))
     mining = sample.where("part < 5")
     by = {r[0]: r[1] for r in mining.groupBy("label").count().collect()}
     toxic, other = by.get(1, 0), by.get(0, 0)
@@ -344,13 +347,13 @@ def scored(text: Column, model: Model) -> Column:
 
 def classify(docs: DataFrame, labels: DataFrame, training_docs: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """(doc_id, toxicity, toxic) for each row of docs."""
-    model = fit(training_docs if training_docs is not None else docs, labels, max_labelled)
+    model = fit(training_docs if training_docs is not None else docs, labels, max_labelled, id_col=id_col, text_col=text_col)
     out = docs.select(col(docs, id_col).cast("long").alias("doc_id"), scored(col(docs, text_col), model).alias("toxicity"))
     return out.withColumn("toxic", F.col("toxicity") >= threshold)
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, training_docs: DataFrame | None = None, text_col: str = "text", threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED) -> DataFrame:
+def keep_clean(docs: DataFrame, labels: DataFrame, training_docs: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """docs without the rows at or above the threshold, all columns as they were."""
-    model = fit(training_docs if training_docs is not None else docs, labels, max_labelled)
+    model = fit(training_docs if training_docs is not None else docs, labels, max_labelled, id_col=id_col, text_col=text_col)
     score = fresh(docs, "toxicity")
     return docs.withColumn(score, scored(col(docs, text_col), model)).where(F.col(score) < threshold).drop(score)

@@ -31,6 +31,12 @@ def test_repeats_by_brute_force(spark):
     assert substring.repeated_passages(df.limit(0)).count() == 0
 
 
+def test_repeat_under_a_null_id_and_id_zero(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    df = spark.createDataFrame([(0, text)], "doc_id long, text string").unionAll(spark.createDataFrame([(None, text)], "doc_id long, text string"))
+    assert [tuple(r) for r in substring.repeated_passages(df).collect()] == [(None, 0, 80, 0, 0)]
+
+
 def test_packing_places_every_word_once(spark):
     rng = np.random.default_rng(3)
     rows = [(i, "w " * int(n)) for i, n in enumerate(rng.integers(0, 70, 300))] + [(400, None), (401, " \n"), (402, "w " * 64)]
@@ -47,6 +53,19 @@ def test_packing_places_every_word_once(spark):
     assert least <= len(bins) <= 1.1 * least + 1
 
 
+def test_packing_counts_of_a_column(spark):
+    rows = [(1, 20), (2, 12), (3, 40), (4, None), (5, 0), (6, -3)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, n int").selectExpr("*", "'x' AS text"), capacity=32, length_col="n").collect()
+    assert sorted((r.doc_id, r.piece, r.length) for r in got) == [(1, 0, 20), (2, 0, 12), (3, 0, 32), (3, 1, 8)]
+    assert len({r.bin_id for r in got}) == 3
+
+
+def test_plan_fills_gaps_by_pairs_and_triples():
+    counts = np.bincount([90, 6, 4, 80, 9, 8, 3, 70, 30], minlength=101)
+    bins = packing.plan(counts, 100)
+    assert sorted(tuple(sorted(p)) for p, n in bins for _ in range(n)) == [(3, 8, 9, 80), (4, 6, 90), (30, 70)]
+
+
 FEW = pytest.mark.xfail(strict=True, reason="with 38 toxic labels to learn from in sf0.01 op4 finds 2 of 13 held-out toxic documents; open")
 
 
@@ -72,3 +91,11 @@ def test_classifiers_edge_cases(spark):
     assert sorted((r.doc_id or 0, r.quality_score, r.kept) for r in good) == [(0, 1, True), (1, 0, False), (2, 0, False), (3, 0, False), (5, 1, True), (5, 1, True)]
     toxic = toxicity.classify(docs, none).collect()
     assert len(toxic) == len(EDGES) and not any(r.toxic for r in toxic)
+
+
+def test_classifiers_with_other_column_names(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    other = docs.withColumnsRenamed({"doc_id": "key", "text": "body"}).selectExpr("*", "1 AS doc_id", "'x' AS text")
+    odd = labels.unionByName(labels.selectExpr("doc_id + 1000000 AS doc_id", "7 AS quality", "7 AS toxic"))
+    for run in (quality.classify, toxicity.classify):
+        assert sorted(map(tuple, run(other, odd, id_col="key", text_col="body").collect())) == sorted(map(tuple, run(docs, labels).collect()))
