@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import lattice, packing, pieces, quality, simhash, substring, tokenorc, toxicity, urlfilter
+from . import chroma, lattice, packing, pieces, quality, simhash, substring, tokenorc, toxicity, urlfilter
 from .common import read
 
 
@@ -28,6 +28,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chroma.matches(chroma.rendered(read(spark, sf_dir, "documents")))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_toxicity": op4_toxicity,
+    "op5_chroma_fingerprints": op5_chroma_fingerprints,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_token_orc": op7_token_orc,
     "op8_quality_classifier": op8_quality_classifier,
