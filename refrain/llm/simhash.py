@@ -26,7 +26,7 @@ a group of thousands of copies costs edges in proportion to its size.
 
 Defined results: a text without any word (null, empty, blank or punctuation
 only) has no fingerprint and is a group of its own. Repeated rows are copies
-of each other. Null ids are allowed and come last in order. Columns other than
+of each other; one of identical rows is kept. Null ids are allowed and come last in order. Columns other than
 id and text are never looked at. An empty table gives an empty result.
 """
 
@@ -49,8 +49,10 @@ SEGMENTS = 16
 #: Bits of a segment, and bytes from one segment to the next.
 BITS = 24
 STRIDE = 2
-#: Fingerprints that one split of a table holds at about most.
-SPLIT = 200_000
+#: Fingerprints that one split of a table holds at about most, and that are compared in memory at a time.
+SPLIT = 1_600_000
+PART = 200_000
+_ENTRY = np.dtype([("node", "<i8"), ("fp", "u1", 32)])
 _GAP = B.SPACE.copy()
 _GAP[33:48] = _GAP[58:65] = _GAP[91:97] = _GAP[123:127] = True
 _SIGN = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2) - 1
@@ -102,30 +104,29 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(col(docs, id_col).cast("long").alias("id"), doc_hash(text).alias("h"), text.alias("text")).mapInArrow(_fingerprints, "id long, h long, fp binary")
 
 
+def segment(fp: np.ndarray, s: int) -> np.ndarray:
+    """The value of segment s of each fingerprint."""
+    byte = [fp[:, (s * STRIDE + k) % 32].astype(np.uint32) for k in range(BITS // 8)]
+    return (byte[0] << np.uint32(16)) | (byte[1] << np.uint32(8)) | byte[2]
+
+
 def _scatter(prefix: int):
-    """Packs the entries of each split: node, fingerprint, value of the segment, whether it is a visitor."""
+    """Packs the entries of each split of each segment's table, node and fingerprint: a fingerprint goes to the split
+    of its own value and to those of the values with one of the leading bits flipped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node = batch.column(0).to_numpy()
-            fp = B.flat(batch.column(1))[0].reshape(-1, 32)
-            byte = fp.astype(np.uint32)
-            part, what = [], []
+            entry = np.zeros(batch.num_rows, _ENTRY)
+            entry["node"], entry["fp"] = batch.column(0).to_numpy(), B.flat(batch.column(1))[0].reshape(-1, 32)
+            part = []
             for s in range(SEGMENTS):
-                at = [(s * STRIDE + k) % 32 for k in range(BITS // 8)]
-                v = (byte[:, at[0]] << np.uint32(16)) | (byte[:, at[1]] << np.uint32(8)) | byte[:, at[2]]
-                flips = [0] + [1 << (BITS - 1 - b) for b in range(prefix)]
-                for f in flips:
-                    value = v ^ np.uint32(f)
-                    entry = np.zeros(len(v), [("node", "<i8"), ("fp", "u1", 32), ("value", "<u4"), ("visitor", "u1")])
-                    entry["node"], entry["fp"], entry["value"], entry["visitor"] = node, fp, value, f != 0
-                    part.append((value.astype(np.int64) >> (BITS - prefix)) + (s << prefix))
-                    what.append(entry)
-            if not part:
+                lead = (segment(entry["fp"], s) >> np.uint32(BITS - prefix)).astype(np.int64)
+                part += [(lead ^ f) + (s << prefix) for f in (0, *(1 << b for b in range(prefix)))]
+            if not batch.num_rows:
                 continue
-            p, e = np.concatenate(part), np.concatenate(what)
+            p = np.concatenate(part)
             order = np.argsort(p, kind="stable")
-            p, e = p[order], e[order]
+            p, e = p[order], entry[order % batch.num_rows]
             begin = np.flatnonzero(np.diff(p, prepend=-1))
             end = np.append(begin[1:], len(p))
             yield pa.RecordBatch.from_arrays([pa.array(p[begin], pa.int64()), pa.array([e[a:b].tobytes() for a, b in zip(begin, end)], pa.binary())], ["part", "entries"])
@@ -133,12 +134,17 @@ def _scatter(prefix: int):
     return run
 
 
-def split_edges(entries: np.ndarray, prefix: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the near pairs that meet in one split of a segment's table."""
+def split_edges(entries: np.ndarray, prefix: int, radius: int, s: int, lead: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the near pairs that meet where the values of segment s lead with prefix bits equal to lead.
+
+    Entries whose own value leads otherwise are visitors, in the place of their value with that one bit flipped."""
     ids, at = np.unique(entries["node"], return_inverse=True)
     fps = np.zeros((len(ids), 4), np.uint64)
     fps[at] = np.ascontiguousarray(entries["fp"]).view("<u8").reshape(-1, 4)
-    value, home = entries["value"].astype(np.uint64), entries["visitor"] == 0
+    own = segment(entries["fp"], s).astype(np.uint64)
+    rest = np.uint64(BITS - prefix)
+    home = own >> rest == np.uint64(lead)
+    value = (own & ((np.uint64(1) << rest) - np.uint64(1))) | (np.uint64(lead) << rest)
     label = np.arange(len(ids))
 
     keys = [(value << np.uint64(32)) | at.astype(np.uint64)]
@@ -190,9 +196,21 @@ def split_edges(entries: np.ndarray, prefix: int, radius: int) -> tuple[np.ndarr
 
 def _edges(prefix: int, radius: int):
     def run(table: pa.Table) -> pa.Table:
-        kind = np.dtype([("node", "<i8"), ("fp", "u1", 32), ("value", "<u4"), ("visitor", "u1")])
-        entries = np.frombuffer(B.flat(table.column("entries"))[0].tobytes(), kind)
-        a, b = split_edges(entries, prefix, radius)
+        s, lead = divmod(table.column("part")[0].as_py(), 1 << prefix)
+        entries = np.frombuffer(B.flat(table.column("entries"))[0].tobytes(), _ENTRY)
+        # a split of more than PART entries is split again by further bits, in memory: one part after another
+        more = min(BITS - prefix - 1, max(0, math.ceil(math.log2(max(len(entries), 1) / PART))))
+        found = []
+        if more == 0:
+            found.append(split_edges(entries, prefix, radius, s, lead))
+        else:
+            depth = prefix + more
+            own = (segment(entries["fp"], s) >> np.uint32(BITS - depth)).astype(np.int64)
+            for tail in range(1 << more):
+                # at most one of the leading bits differs; visitors differ in the first ones already
+                here = np.bitwise_count(own ^ ((lead << more) | tail)) <= 1
+                found.append(split_edges(entries[here], depth, radius, s, (lead << more) | tail))
+        a, b = (np.concatenate([f[i] for f in found]) for i in (0, 1))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -200,24 +218,29 @@ def _edges(prefix: int, radius: int):
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """(id, h, group_id, kept, copies) for each row of docs: group_id is the least id of the group, kept marks the
-    row of that id (of several texts under that id the one with the least hash), copies counts the group's rows.
-    Identical repeated rows are all marked as kept; whoever filters by kept keeps one of them."""
-    prints = cut(fingerprints(docs, id_col, text_col).withColumn("node", F.xxhash64("fp")))
-    nodes = prints.where("fp is not null").groupBy("node").agg(F.first("fp").alias("fp"))
+    row of that id (of several texts under that id the one with the least hash, of identical rows one), copies counts
+    the group's rows."""
+    prints = cut(fingerprints(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
+    # a number for each fingerprint: equal numbers mean equal fingerprints, which hashes wouldn't
+    nodes = cut(prints.where("fp is not null").select("fp").distinct().withColumn("node", F.monotonically_increasing_id()))
     n = nodes.count()
     prefix = max(0, math.ceil(math.log2(max(n, 1) / SPLIT)))
-    edges = nodes.mapInArrow(_scatter(prefix), "part long, entries binary").groupBy("part").applyInArrow(_edges(prefix, radius), "a long, b long")
-    roots = connected(edges)
-    grouped = prints.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    of = F.struct(F.col("id").isNull().alias("unknown"), "id", "h")
-    heads = grouped.where("fp is not null").groupBy("root").agg(F.min(of).alias("head"), F.count("*").alias("copies"))
+    edges = nodes.select("node", "fp").mapInArrow(_scatter(prefix), "part long, entries binary").groupBy("part").applyInArrow(_edges(prefix, radius), "a long, b long")
+    # the members of a group of several fingerprints are found by the number of its root
+    linked = connected(edges)
+    linked = linked.unionAll(linked.select(F.col("root").alias("node"), "root").distinct())
+    roots = nodes.join(linked, "node").select("fp", "root")
+    grouped = prints.where("fp is not null").join(roots, "fp", "left").select("id", "h", "row", "root", F.when(F.col("root").isNull(), F.col("fp")).alias("alike"))
+    of = F.struct(F.col("id").isNull().alias("unknown"), "id", "h", "row")
+    heads = grouped.groupBy("root", "alike").agg(F.min(of).alias("head"), F.count("*").alias("copies"))
     # a group of one needs no row of heads: the join is with the groups of several
-    found = grouped.where("fp is not null").join(heads.where("copies > 1"), "root", "left")
+    several = heads.where("copies > 1").select(F.col("root").alias("r"), F.col("alike").alias("l"), "head", "copies")
+    found = grouped.join(several, F.col("root").eqNullSafe(F.col("r")) & F.col("alike").eqNullSafe(F.col("l")), "left")
     alone = F.col("copies").isNull()
     out = found.select(
         "id", "h",
         F.when(alone, F.col("id")).otherwise(F.col("head.id")).alias("group_id"),
-        (alone | (F.col("head.id").eqNullSafe(F.col("id")) & (F.col("head.h") == F.col("h")))).alias("kept"),
+        (alone | (F.col("head.row") == F.col("row"))).alias("kept"),
         F.coalesce("copies", F.lit(1)).alias("copies"),
     )
     return out.unionAll(prints.where("fp is null").select("id", "h", F.col("id").alias("group_id"), F.lit(True).alias("kept"), F.lit(1).cast("long").alias("copies")))

@@ -57,10 +57,29 @@ def test_candidates_at_the_radius():
     assert all(np.bitwise_count(fps[a] ^ fps[b]).sum() <= S.RADIUS for a, b in found)
 
 
+def test_parts_of_a_split_find_what_the_split_finds(monkeypatch):
+    rng = np.random.default_rng(10)
+    one = rng.integers(0, 2, (2000, 256)).astype(np.uint8)
+    two = one ^ (rng.random((2000, 256)) < 0.1)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(4000)), pa.array([f.tobytes() for f in np.packbits(np.concatenate((one, two)), axis=1)], pa.binary())], ["node", "fp"])
+
+    def components(prefix: int, part: int) -> np.ndarray:
+        monkeypatch.setattr(S, "PART", part)
+        table = pa.Table.from_batches(S._scatter(prefix)([batch]))
+        edges = [S._edges(prefix, S.RADIUS)(table.filter(pa.compute.equal(table["part"], p))) for p in set(table["part"].to_pylist())]
+        edges = pa.concat_tables(edges)
+        return S.local_components(np.arange(4000), edges["a"].to_numpy(), edges["b"].to_numpy())
+
+    whole = components(0, 10**9)
+    assert (whole[2000:] == np.arange(2000)).mean() > 0.9
+    for prefix, part in ((0, 500), (3, 10**9), (2, 200)):
+        assert (components(prefix, part) == whole).all()
+
+
 def test_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, " .,; "), (4, "one word"), (5, "one word"), (None, "one word"), (6, "another text altogether"), (6, "another text altogether")]
     got = S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((r.doc_id or 0, r.group_id, r.kept, r.copies) for r in got) == [(0, 4, False, 3), (1, 1, True, 1), (2, 2, True, 1), (3, 3, True, 1), (4, 4, True, 3), (5, 4, False, 3), (6, 6, True, 2), (6, 6, True, 2)]
+    assert sorted((r.doc_id or 0, r.group_id, r.kept, r.copies) for r in got) == [(0, 4, False, 3), (1, 1, True, 1), (2, 2, True, 1), (3, 3, True, 1), (4, 4, True, 3), (5, 4, False, 3), (6, 6, False, 2), (6, 6, True, 2)]
     assert S.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     kept = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in kept) == [1, 2, 3, 4, 6]
