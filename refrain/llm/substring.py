@@ -3,9 +3,11 @@
 Words are maximal runs of bytes other than ASCII white space; windows of words
 are equal when the 64-bit hashes of their bytes are. A window is ``min_words`` (L) consecutive words of one text; it is a
 repeat when an equal window comes earlier, in the order of (id, hash of the
-text, position), nulls last. A repeat in the result is a maximal run of such
-windows whose first occurrences run in step: words [start, start + n_words) of
-a text equal words [first_start, ...) of the text where they first occur.
+text, position), nulls last. Its source is the equal window before it in the
+same text, where there is one, else the first of all. A repeat in the result is
+a maximal run of such windows whose sources run in step: words
+[start, start + n_words) of a text equal words [first_start, ...) of its source.
+A text that repeats one period throughout is one repeat, from its second period on.
 
 Search: every text is cut into non-overlapping reference blocks of
 ``block = (L + 1) // 2`` words, and every rolling window of block words probes them.
@@ -245,19 +247,25 @@ def _extended(block: int, min_words: int, ranges: int):
 
 
 def _first(table: pa.Table) -> pa.Table:
-    """Runs of windows that come again, in step with where they first occur."""
+    """Runs of windows that come again, in step with their sources."""
     t = _Texts(table, "<u8")
     if not len(t.hash):
         z = np.zeros(0, np.int64)
         return pa.table({**t.columns(z), "start": pa.array([], pa.int32()), "n": pa.array([], pa.int32()), **t.columns(z, "first_"), "first_start": pa.array([], pa.int32())})
     place = (t.rank << 32) | t.pos
-    order = np.argsort(t.hash, kind="stable")
-    value = t.hash[order]
-    begin = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
-    source = np.empty(len(order), np.int64)
-    source[order] = np.repeat(np.minimum.reduceat(place[order], begin), np.diff(np.append(begin, len(order))))
-    again = np.flatnonzero(source != place)
-    p, s = np.unique(np.stack((place[again], source[again])), axis=1) if len(again) else np.zeros((2, 0), np.int64)
+    order = np.lexsort((place, t.hash))
+    value, place = t.hash[order], place[order]
+    stay = np.concatenate(([True], place[1:] != place[:-1]))  # rows of equal id and text are one text
+    value, place = value[stay], place[stay]
+    head = np.concatenate(([True], value[1:] != value[:-1]))
+    source = place[np.flatnonzero(head)][np.cumsum(head) - 1]
+    # within a text that repeats itself the occurrence before is the source, else the first of all
+    own = np.flatnonzero(~head)
+    own = own[place[own] >> 32 == place[own - 1] >> 32]
+    source[own] = place[own - 1]
+    again = np.flatnonzero(~head)
+    again = again[np.argsort(place[again])]
+    p, s = place[again], source[again]
     new = np.concatenate(([True], (np.diff(p) != 1) | (np.diff(s) != 1))) if len(p) else np.zeros(0, bool)
     head = np.flatnonzero(new)
     n = np.diff(np.append(head, len(p)))

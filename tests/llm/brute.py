@@ -7,19 +7,20 @@ from collections import defaultdict
 
 
 def repeats(rows: list[tuple], min_words: int) -> set[tuple]:
-    """{(id, start, n_words, first_id, first_start)} by comparing all windows of words."""
+    """{(id, start, n_words, first_id, first_start)} by comparing all windows of words; an equal window before in the same
+    text comes before the first of all."""
     texts = sorted({(i is None, i or 0, t) for i, t in rows if t is not None}, key=lambda x: (x[0], x[1]))
-    seen: dict[tuple, tuple] = {}
+    first: dict[tuple, tuple] = {}
     out = set()
     for null, i, t in texts:
         i = None if null else i
         words = [w for w in t.encode().translate(bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")).split(b" ") if w]
-        run = None
+        run, last = None, {}
         for p in range(len(words) - min_words + 1):
             w = tuple(words[p : p + min_words])
-            src = seen.setdefault(w, (i, t, p))
-            if src == (i, t, p):
-                src = None
+            src = (i, t, last[w]) if w in last else first.get(w)
+            last[w] = p
+            first.setdefault(w, (i, t, p))
             if run and src and src[:2] == run[1][:2] and src[2] - run[1][2] == p - run[0]:
                 run[2] += 1
                 continue

@@ -31,6 +31,11 @@ def test_repeats_by_brute_force(spark):
     assert substring.repeated_passages(df.limit(0)).count() == 0
 
 
+def test_periodic_texts_are_one_repeat(spark):
+    df = spark.createDataFrame([(1, "same " * 2000), (2, "one two three " * 300), (3, "same " * 500)], "doc_id long, text string")
+    assert sorted(map(tuple, substring.repeated_passages(df).collect())) == [(1, 1, 1999, 1, 0), (2, 3, 897, 2, 0), (3, 0, 50, 1, 0), (3, 1, 499, 3, 0)]
+
+
 def test_repeat_under_a_null_id_and_id_zero(spark):
     text = " ".join(f"w{i}" for i in range(80))
     df = spark.createDataFrame([(0, text)], "doc_id long, text string").unionAll(spark.createDataFrame([(None, text)], "doc_id long, text string"))
