@@ -121,6 +121,23 @@ def periodic(text: np.ndarray, window: int, most: int) -> np.ndarray:
     return out
 
 
+#: Bytes to the left that are compared for all samples at once.
+_SHORT = 16
+
+
+def _left_short(index: Suffixes, source: np.ndarray, sample: np.ndarray, start: int) -> np.ndarray:
+    """How many bytes before each sample equal those before its source, _SHORT at most."""
+    out = np.zeros(len(sample), np.int64)
+    live = np.flatnonzero(source >= 0)
+    for k in range(_SHORT):
+        a, b = source[live] - 1 - k, sample[live] - 1 - k
+        live = live[(np.minimum(a, b) >= start) & (index.data[np.maximum(a, 0)] == index.data[np.maximum(b, 0)])]
+        out[live] += 1
+        if not len(live):
+            break
+    return out
+
+
 def _left(index: Suffixes, i: int, j: int, most: int) -> int:
     """How many bytes up to and with i equal those up to and with j, most at most; i is the earlier place."""
     data, base = index.data, int(index.offs[index.text[j]])
@@ -172,8 +189,10 @@ def _one_sided(index: Suffixes, text: int, sample: np.ndarray, every: bool, left
         length = np.zeros(s, np.int64)
         length[some] = index.extension(sample[some], sample[order[x[some]]])
         reach.append(length.tolist())
-    source = [np.where(x >= 0, sample[order[np.maximum(x, 0)]], -1).tolist() for x in near]
+    source = [np.where(x >= 0, sample[order[np.maximum(x, 0)]], -1) for x in near]
     start = int(index.offs[text])
+    short = [_left_short(index, x, sample, start).tolist() for x in source]
+    source = [x.tolist() for x in source]
     out: list[tuple[int, int, int]] = []
     covered = start
     last: list[tuple[int, int]] = [(-1, 0), (-1, 0)]
@@ -194,7 +213,9 @@ def _one_sided(index: Suffixes, text: int, sample: np.ndarray, every: bool, left
             beg = at
             if left and min(src, at) > start:
                 most = at - start if every or later else max(0, at - covered)
-                back = _left(index, min(src, at) - 1, max(src, at) - 1, most)
+                back = min(short[side][k], most)
+                if back == _SHORT:  # few reach so far; for those the rest is compared too
+                    back += _left(index, min(src, at) - 1 - _SHORT, max(src, at) - 1 - _SHORT, most - _SHORT)
                 beg, src = beg - back, src - back
             if not every and beg < covered:
                 src, beg = src + covered - beg, covered
@@ -252,26 +273,34 @@ def approximate(index: Suffixes, tau: int = 32, mode: str = "lpf_opt", fill: str
     fill "greedy": at a phrase the longer of it and such a match is taken; "greedy_naive": matches within gaps only."""
     if fill not in ("greedy", "greedy_naive"):
         raise ValueError(f"unknown way to fill gaps {fill!r}")
-    rows: list[tuple[int, int, int]] = []
-    for text in range(len(index.offs) - 1):
+    many = len(index.offs) - 1
+    chosen_of, patterns = [], []
+    for text in range(many):
         a, b = int(index.offs[text]), int(index.offs[text + 1])
         chosen = phrases(index, text, tau, mode)
         covered = sum(e - s for s, e, _ in chosen)
         gaps = sum(x[1] < y[0] for x, y in zip([(a, a, 0), *chosen], [*chosen, (b, b, 0)]))
-        last = [_last_seen(index.data[a:b], k) for k in gap_patterns(b - a, covered, len(chosen), gaps)[::-1]]
-        near = np.full(b - a, -1, np.int64)
-        for seen in last:
-            near = np.where(near >= 0, near, seen)
-        some = np.flatnonzero(near >= 0)
-        reach = np.zeros(b - a, np.int64)
-        reach[some] = index.extension(some + a, near[some] + a)
-        near, reach = near.tolist(), reach.tolist()
+        chosen_of.append(chosen)
+        patterns.append(gap_patterns(b - a, covered, len(chosen), gaps))
+    earlier = np.full(len(index.data), -1, np.int64)
+    shared = index.extension(index.order[1:], index.order[:-1])
+    for k in sorted({k for p in patterns for k in p}, reverse=True):
+        wanted = np.array([k in p for p in patterns])[index.text] & (earlier < 0)
+        seen = last_seen(index, shared, k, wanted)
+        earlier = np.where(wanted, seen, earlier)
+    some = np.flatnonzero(earlier >= 0)
+    extent = np.zeros(len(index.data), np.int64)
+    extent[some] = index.extension(some, earlier[some])
+    rows: list[tuple[int, int, int]] = []
+    for text, chosen in enumerate(chosen_of):
+        a, b = int(index.offs[text]), int(index.offs[text + 1])
+        near, reach = earlier[a:b].tolist(), extent[a:b].tolist()
         i, k = a, 0
         while i < b:
             while k < len(chosen) and chosen[k][1] <= i:
                 k += 1
             beg, end, src = chosen[k] if k < len(chosen) else (b, b, 0)
-            n, source = reach[i - a], near[i - a] + a
+            n, source = reach[i - a], near[i - a]
             if i < beg:  # in a gap; a match may run on into the phrase, or over its end
                 if beg < i + n <= end and fill == "greedy":
                     n = beg - i
@@ -287,25 +316,23 @@ def approximate(index: Suffixes, tau: int = 32, mode: str = "lpf_opt", fill: str
     return _rows(index, pos, source, n)
 
 
-def _last_seen(text: np.ndarray, k: int) -> np.ndarray:
-    """For each place, the last earlier place of the k bytes from it on; -1 where there is none."""
-    out = np.full(len(text), -1, np.int64)
-    n = len(text) - k + 1
-    if n <= 1:
-        return out
-    window = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, k))
-    if k <= 8:
-        key = np.zeros(n, np.uint64)
-        for j in range(k):
-            key = key << np.uint64(8) | window[:, j]
-        order = np.argsort(key, kind="stable")
-        same = key[order[1:]] == key[order[:-1]]
-    else:
-        raw = window.view(f"S{k}").ravel() if not (window == 0).any() else np.array([w.tobytes() for w in window], object)
-        key = np.unique(raw, return_inverse=True)[1]
-        order = np.argsort(key, kind="stable")
-        same = key[order[1:]] == key[order[:-1]]
-    out[order[1:][same]] = order[:-1][same]
+def last_seen(index: Suffixes, shared: np.ndarray, k: int, wanted: np.ndarray) -> np.ndarray:
+    """For each place the last earlier one of the k bytes from it on, -1 where there is none; shared is how much each
+    suffix shares with the one before it in order. Places that aren't wanted may be left at -1, with all of their text."""
+    same = shared >= k
+    tied = np.zeros(len(index.order), bool)
+    tied[1:] |= same
+    tied[:-1] |= same
+    of_text = np.zeros(len(index.offs) - 1, bool)
+    of_text[index.text[wanted]] = True
+    at = np.flatnonzero(tied & of_text[index.text[index.order]])
+    group = np.concatenate(([0], np.cumsum(~same)))[at] if len(at) else at
+    place = index.order[at]
+    turn = np.lexsort((place, group))
+    group, place = group[turn], place[turn]
+    out = np.full(len(index.data), -1, np.int64)
+    again = group[1:] == group[:-1]
+    out[place[1:][again]] = place[:-1][again]
     return out
 
 

@@ -94,6 +94,18 @@ def test_phrases_and_approximate_factors(mode):
                     assert K.decode(f["src"][mine], f["len"][mine], f["literal"][mine]) == t and mine.sum() >= least[k]
 
 
+def test_last_seen_kmers():
+    for ts in batches(11, 15, 150):
+        index = Suffixes(*batch(ts))
+        shared = index.extension(index.order[1:], index.order[:-1])
+        for k in (1, 2, 7, 20):
+            got = K.last_seen(index, shared, k, np.ones(len(index.data), bool))
+            for t, b in zip(ts, index.offs[:-1].tolist()):
+                for i in range(len(t)):
+                    want = t.rfind(t[i : i + k], 0, i + k - 1) if i + k <= len(t) else -1
+                    assert got[b + i] == (b + want if want >= 0 else -1)
+
+
 def test_selected_phrases_cover_what_all_of_them_cover():
     rng = random.Random(5)
     for _ in range(300):
