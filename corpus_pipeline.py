@@ -46,7 +46,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("op9_best_fit_packing", packed),
 ]
 #: Trained models and fingerprints have no SQL; the tests hold the pipeline against its stages.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,4 +65,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL: dict[str, str] = {"op1_url_filters": urlfilter.oracle(), **corpus_pipeline.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_url_filters": urlfilter.oracle(), **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
