@@ -18,8 +18,9 @@ why millions of probes cost a few bytes each. Hits are then extended: all
 windows of L words around a hit meet under a 64-bit hash in the range of their
 least hit, which depends on the words alone, so the windows of one passage
 meet in one place in all its copies and the first of each is found without
-comparing copies pairwise. The work is linear in the corpus whatever the
-number of copies.
+comparing copies pairwise. Texts are handled in bundles, and of a bundle's equal
+windows one goes to that place; the others follow it. The work is linear in the
+corpus whatever the number of copies.
 
 Defined results: null and empty texts, and texts of fewer than L words, hold no
 repeat. Rows with equal id and text are one text: all get the same result.
@@ -70,11 +71,82 @@ def _blobs(group: np.ndarray, doc: np.ndarray, pos: np.ndarray, value: np.ndarra
         d = doc[first]
         rows.append((int(group[a]), ids[d].tobytes(), hs[d].tobytes(), null[d].tobytes(), np.diff(np.append(first, b)).astype("<i4").tobytes(), _pack(pos[a:b]), value[a:b].tobytes()))
     kinds = [pa.int64(), *[pa.binary()] * 6]
-    names = ["q", "ids", "hs", "nulls", "counts", "pos", "hashes"]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+    return pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], pa.nulls(len(rows), pa.binary())], _BLOB_NAMES)
+
+
+_BLOB_NAMES = ["q", "ids", "hs", "nulls", "counts", "pos", "hashes", "runs"]
+
+
+_BLOBS = "q long, ids binary, hs binary, nulls binary, counts binary, pos binary, hashes binary, runs binary"
+#: A run of n windows of a text (its id, whether that is null, its hash) in step with another text's.
+_RUN = np.dtype([("null", "u1"), ("id", "<i8"), ("h", "<i8"), ("start", "<i4"), ("n", "<i4"), ("first_null", "u1"), ("first_id", "<i8"), ("first_h", "<i8"), ("first_start", "<i4")])
+_KEY = np.dtype([("null", "u1"), ("id", "<i8"), ("h", "<i8")])
+_LOW = np.int64(0xFFFFFFFF)
+
+
+def _numbered(texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different texts of _KEY rows in order (nulls last), and each row's number among them."""
+    order = np.lexsort((texts["h"], texts["id"], texts["null"]))
+    sorted_ = texts[order]
+    new = np.ones(len(order), bool)
+    for c in ("null", "id", "h"):
+        new[1:] &= sorted_[c][1:] == sorted_[c][:-1]
+    new[1:] = ~new[1:]
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return sorted_[new], rank
+
+
+def _sources(place: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of windows (place: text << 32 | position, value: hash), each place once, sorted by hash: an index of it, whether it
+    is the first with its hash, and its source: the one before it in its own text, else the first."""
+    order = np.lexsort((place, value))
+    p, v = place[order], value[order]
+    stay = np.ones(len(order), bool)
+    stay[1:] = (p[1:] != p[:-1]) | (v[1:] != v[:-1])  # rows of equal id and text are one text
+    order, p, v = order[stay], p[stay], v[stay]
+    head = np.ones(len(order), bool)
+    head[1:] = v[1:] != v[:-1]
+    source = p[np.flatnonzero(head)][np.cumsum(head) - 1] if len(p) else p
+    own = np.flatnonzero(~head)
+    own = own[p[own] >> 32 == p[own - 1] >> 32]
+    source[own] = p[own - 1]
+    return order, head, source
+
+
+def _in_step(p: np.ndarray, s: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Runs of places whose sources are in step; texts are _KEY rows by number."""
+    order = np.argsort(p, kind="stable")
+    p, s = p[order], s[order]
+    new = np.ones(len(p), bool)
+    new[1:] = (np.diff(p) != 1) | (np.diff(s) != 1)
+    head = np.flatnonzero(new)
+    out = np.zeros(len(head), _RUN)
+    for side, at in (("", p[head]), ("first_", s[head])):
+        for c in ("null", "id", "h"):
+            out[side + c] = texts[c][at >> 32]
+        out[side + "start"] = at & _LOW
+    out["n"] = np.diff(np.append(head, len(p)))
+    return out
+
+
+def _bucket(null: np.ndarray, id_: np.ndarray, h: np.ndarray, ranges: int) -> np.ndarray:
+    """Which of the ranges a text falls to."""
+    return (B.mix(B.mix(id_.astype(np.int64).view(np.uint64) + null) ^ h.astype(np.int64).view(np.uint64)) % np.uint64(ranges)).astype(np.int64)
 
 
-_BLOBS = "q long, ids binary, hs binary, nulls binary, counts binary, pos binary, hashes binary"
+def _dealt(runs: np.ndarray, bucket: np.ndarray) -> list[tuple[int, bytes]]:
+    order = np.argsort(bucket, kind="stable")
+    runs, bucket = runs[order], bucket[order]
+    begin = np.flatnonzero(np.diff(bucket, prepend=-1))
+    return [(int(bucket[a]), runs[a:b].tobytes()) for a, b in zip(begin, np.append(begin[1:], len(runs)))]
+
+
+def _windows(runs: np.ndarray, doc: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and sources of every window of runs whose texts have these numbers."""
+    n = runs["n"].astype(np.int64)
+    k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(doc << 32 | runs["start"].astype(np.int64), n) + k, np.repeat(first << 32 | runs["first_start"].astype(np.int64), n) + k
 
 
 class _Texts:
@@ -85,22 +157,13 @@ class _Texts:
             return np.frombuffer(B.flat(table.column(name))[0].tobytes(), kind)
 
         ids, hs, null, counts = whole("ids", "<i8"), whole("hs", "<i8"), whole("nulls", "u1"), whole("counts", "<i4")
-        texts = np.zeros(len(ids), [("null", "u1"), ("id", "<i8"), ("h", "<i8")])
+        texts = np.zeros(len(ids), _KEY)
         texts["null"], texts["id"], texts["h"] = null, ids, hs
-        order = np.lexsort((texts["h"], texts["id"], texts["null"]))
-        texts = texts[order]
-        new = np.concatenate(([True], texts[1:] != texts[:-1])) if len(texts) else np.zeros(0, bool)
-        rank = np.empty(len(ids), np.int64)
-        rank[order] = np.cumsum(new) - 1
-        self.texts = texts[new]
+        self.texts, rank = _numbered(texts)
         self.rank = np.repeat(rank, counts)
         self.pos = np.concatenate([_unpack(x) for x in table.column("pos").to_pylist()] or [np.zeros(0, np.int64)])
         self.hash = whole("hashes", hash_kind)
 
-    def columns(self, rank: np.ndarray, prefix: str = "") -> dict[str, pa.Array]:
-        t = self.texts[rank]
-        return {f"{prefix}id": pa.array(t["id"], pa.int64(), mask=t["null"] == 1), f"{prefix}h": pa.array(t["h"], pa.int64())}
-
 
 def _words(piece: pa.RecordBatch, text: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, row and index in the row of each word."""
@@ -205,15 +268,30 @@ def _by_text(table: pa.Table) -> pa.Table:
 
 
 def _extended(block: int, min_words: int, ranges: int):
-    """Packs all windows of min_words words around the hits of a text, in the range of the least hit in each."""
+    """Packs all windows of min_words words around the hits of texts, in the range of the least hit in each.
+
+    Of windows of one hash only the first in a bundle of texts goes there; the others' sources are found within the
+    bundle, and their runs go to the bucket of the text that holds the first one, to be led on from there. So a passage
+    that very many texts share meets in one place once for each bundle, not for each text."""
     reach = min_words - block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = texts = 0
 
-        def out() -> pa.RecordBatch:
-            return _blobs(*[np.concatenate([h[i] for h in held]) for i in range(7)])
+        def out() -> Iterator[pa.RecordBatch]:
+            group, doc, pos, value, ids, hs, null = (np.concatenate([h[i] for h in held]) for i in range(7))
+            key = np.zeros(len(ids), _KEY)
+            key["null"], key["id"], key["h"] = null, ids, hs
+            names, rank = _numbered(key)
+            place = rank[doc] << 32 | pos
+            order, head, source = _sources(place, value)
+            lead = np.sort(order[head])
+            yield _blobs(group[lead], doc[lead], pos[lead], value[lead], ids, hs, null)
+            runs = _in_step(place[order[~head]], source[~head], names)
+            dealt = _dealt(runs, _bucket(runs["first_null"], runs["first_id"], runs["first_h"], ranges))
+            empty = pa.nulls(len(dealt), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in dealt], pa.int64()), *[empty] * 6, pa.array([d[1] for d in dealt], pa.binary())], _BLOB_NAMES)
 
         for batch in batches:
             for piece in pieces(batch, 2):
@@ -238,42 +316,59 @@ def _extended(block: int, min_words: int, ranges: int):
                     held.append((group, row[window] + texts, index[window], w.astype("<u8"), *_keys(piece)))
                     size, texts = size + len(w), texts + piece.num_rows
                 if size >= PACK // 2:
-                    yield out()
+                    yield from out()
                     held, size, texts = [], 0, 0
         if size:
-            yield out()
+            yield from out()
 
     return run
 
 
-def _first(table: pa.Table) -> pa.Table:
-    """Runs of windows that come again, in step with their sources."""
-    t = _Texts(table, "<u8")
-    if not len(t.hash):
-        z = np.zeros(0, np.int64)
-        return pa.table({**t.columns(z), "start": pa.array([], pa.int32()), "n": pa.array([], pa.int32()), **t.columns(z, "first_"), "first_start": pa.array([], pa.int32())})
-    place = (t.rank << 32) | t.pos
-    order = np.lexsort((place, t.hash))
-    value, place = t.hash[order], place[order]
-    stay = np.concatenate(([True], place[1:] != place[:-1]))  # rows of equal id and text are one text
-    value, place = value[stay], place[stay]
-    head = np.concatenate(([True], value[1:] != value[:-1]))
-    source = place[np.flatnonzero(head)][np.cumsum(head) - 1]
-    # within a text that repeats itself the occurrence before is the source, else the first of all
-    own = np.flatnonzero(~head)
-    own = own[place[own] >> 32 == place[own - 1] >> 32]
-    source[own] = place[own - 1]
-    again = np.flatnonzero(~head)
-    again = again[np.argsort(place[again])]
-    p, s = place[again], source[again]
-    new = np.concatenate(([True], (np.diff(p) != 1) | (np.diff(s) != 1))) if len(p) else np.zeros(0, bool)
-    head = np.flatnonzero(new)
-    n = np.diff(np.append(head, len(p)))
-    low = np.int64(0xFFFFFFFF)
-    return pa.table({
-        **t.columns(p[head] >> 32), "start": pa.array((p[head] & low).astype(np.int32)), "n": pa.array(n.astype(np.int32)),
-        **t.columns(s[head] >> 32, "first_"), "first_start": pa.array((s[head] & low).astype(np.int32)),
-    })
+def _first(ranges: int):
+    """Runs of the windows of a range that come again, in step with their sources, in the buckets of their texts; runs
+    that were found in bundles are passed on."""
+
+    def run(table: pa.Table) -> pa.Table:
+        passed = table.filter(pc.is_valid(table.column("runs")))
+        t = _Texts(table.filter(pc.is_valid(table.column("hashes"))), "<u8")
+        place = t.rank << 32 | t.pos
+        order, head, source = _sources(place, t.hash)
+        runs = _in_step(place[order[~head]], source[~head], t.texts)
+        dealt = _dealt(runs, _bucket(runs["null"], runs["id"], runs["h"], ranges))
+        return pa.table({
+            "bucket": pa.concat_arrays([pa.array([d[0] for d in dealt], pa.int64()), *passed.column("q").chunks]),
+            "found": pa.array([*[d[1] for d in dealt], *[None] * passed.num_rows], pa.binary()),
+            "led": pa.array([*[None] * len(dealt), *passed.column("runs").to_pylist()], pa.binary()),
+        })
+
+    return run
+
+
+def _led_on(table: pa.Table) -> pa.Table:
+    """All runs of a bucket: those whose sources are final, and those found in bundles, led on from the first window in
+    the bundle to the source that has."""
+    found, led = (np.frombuffer(b"".join(x for x in table.column(c).to_pylist() if x), _RUN) for c in ("found", "led"))
+    sides = [(r, side) for r in (found, led) for side in ("", "first_")]
+    key = np.zeros(sum(len(r) for r, _ in sides), _KEY)
+    for c in ("null", "id", "h"):
+        key[c] = np.concatenate([r[side + c] for r, side in sides])
+    names, number = _numbered(key)
+    doc, first, own, lead = np.split(number, np.cumsum([len(r) for r, _ in sides])[:-1])
+    p, s = _windows(led, own, lead)
+    if len(found) and len(p):
+        known, source = _windows(found, doc, first)
+        order = np.argsort(known, kind="stable")
+        known, source = known[order], source[order]
+        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+        # a source in the same text is final
+        on = (known[at] == s) & (p >> 32 != s >> 32)
+        s = np.where(on, source[at], s)
+    p, once = np.unique(p, return_index=True)
+    runs = np.concatenate((found, _in_step(p, s[once], names)))
+    out = {}
+    for side in ("", "first_"):
+        out |= {f"{side}id": pa.array(runs[side + "id"], pa.int64(), mask=runs[side + "null"] == 1), f"{side}h": pa.array(runs[side + "h"]), f"{side}start": pa.array(runs[side + "start"])}
+    return pa.table({**{c: out[c] for c in ("id", "h", "start")}, "n": pa.array(runs["n"]), **{c: out[c] for c in ("first_id", "first_h", "first_start")}})
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -298,7 +393,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     by_text = hits.groupBy("bundle").applyInArrow(_by_text, "id long, h long, hits binary").groupBy("id", "h").agg(F.first("hits").alias("hits"))
     right = by_text.hint("shuffle_hash").withColumnsRenamed({"id": "hid", "h": "hh"})
     around = side.join(right, _same(F.col("id"), F.col("hid")) & (F.col("h") == F.col("hh"))).select("id", "h", "text", "hits")
-    found = around.mapInArrow(_extended(block, min_words, ranges), _BLOBS).groupBy("q").applyInArrow(_first, _REPEATS.replace("n_words", "n"))
+    runs = around.mapInArrow(_extended(block, min_words, ranges), _BLOBS).groupBy("q").applyInArrow(_first(ranges), "bucket long, found binary, led binary")
+    found = runs.groupBy("bucket").applyInArrow(_led_on, _REPEATS.replace("n_words", "n"))
     # runs that were cut where the least hit changes are put together again
     found = found.distinct().withColumn("shift", F.col("start") - F.col("first_start"))
     by = Window.partitionBy("id", "h", "first_id", "first_h", "shift").orderBy("start")

@@ -10,7 +10,7 @@ from refrain.llm import packing, quality, substring, toxicity
 EDGES = [(1, None), (2, ""), (3, " \n "), (None, "some plain words of a text"), (5, "some plain words of a text"), (5, "some plain words of a text")]
 
 
-def test_repeats_by_brute_force(spark):
+def test_repeats_by_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(2)
     words = [f"w{i}" for i in range(30)]
     rows = []
@@ -28,6 +28,11 @@ def test_repeats_by_brute_force(spark):
         got = [tuple(r) for r in substring.repeated_passages(df, min_words=least).collect()]
         assert len(got) == len(set(got)) > 0
         assert set(got) == brute.repeats(rows, least)
+    # in many bundles, with rows that come twice, and in many ranges
+    monkeypatch.setattr(substring, "RANGE", 40)
+    for parts in (2, 7, 40):
+        many = df.unionAll(df.where("doc_id % 3 = 0")).repartition(parts)
+        assert {tuple(r) for r in substring.repeated_passages(many, min_words=5).collect()} == brute.repeats(rows, 5)
     assert substring.repeated_passages(df.limit(0)).count() == 0
 
 
