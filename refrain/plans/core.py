@@ -17,7 +17,7 @@ from ..operators import positions as P
 from ..operators import ranges as R
 from ..operators import sampleindex as X
 from ..operators import strings as S
-from ..sources.texts import metrics, table, texts
+from ..sources.texts import metrics, spread, table, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,7 +44,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return spread(texts(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
 # every byte of an item as the character 256 + its value (t), its hex digits (h) and its number of bytes (n)

@@ -28,6 +28,17 @@ def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(column(df, id_col).cast("long").alias("text_id"), (text if kind == "binary" else F.encode(text, "UTF-8")).alias("data")).where("data is not null")
 
 
+def spread(texts_: DataFrame) -> DataFrame:
+    """The same rows dealt out over all cores, where the input is too small to give each of them a split of its own (a
+    single file of one row group is one task, however long its kernels take). Larger inputs are left as they are: their
+    splits suffice, and moving them would cost a shuffle."""
+    spark = texts_.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(texts_._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return texts_.repartition(4 * cores) if cores > 1 and size < cores * split else texts_
+
+
 def files(spark: SparkSession, path: str) -> DataFrame:
     """(path, text_id, data) of raw files, one row each; text_id is the hash of the path."""
     read = spark.read.format("binaryFile").load(path)

@@ -192,6 +192,18 @@ def test_texts_leave_out_nulls_and_keep_bytes(spark):
     assert sorted((r.text_id or 0, bytes(r.data)) for r in T.texts(df, "k", "data").collect()) == [(0, b"x"), (1, "é".encode())]
 
 
+def test_small_inputs_are_spread_and_large_ones_left(spark, sf):
+    docs = T.texts(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text")
+    assert T.spread(docs).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert T.spread(docs).count() == docs.count()
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10k")
+    try:
+        assert "Exchange" not in T.spread(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
 def test_samples_are_never_further_apart_than_delta(spark):
     rng = random.Random(6)
     rows = [repetitive(rng) for _ in range(20)]
