@@ -88,18 +88,26 @@ def counts(texts: DataFrame, tau: int | None = None, mode: str = "lpf_opt", fill
 
 def decode(factors: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """(text_id, data) of factors; with the texts' ids given, those without factors are empty."""
-
-    def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(table["phrase_no"].to_numpy(), kind="stable")
-        data = K.decode(*[table[c].to_numpy()[order] for c in ("src", "len", "literal")])
-        return pa.table({"text_id": table["text_id"][:1], "data": pa.array([data], pa.binary())})
-
-    out = factors.groupBy("text_id").applyInArrow(run, "text_id long, data binary")
+    out = _in_order(factors, "data", K.decode)
     if texts is not None:
         out = texts.select("text_id").distinct().join(out, "text_id", "left").select("text_id", F.coalesce("data", F.lit(b"")).alias("data"))
     return out
 
 
+def _in_order(factors: DataFrame, name: str, made: Callable[[np.ndarray, np.ndarray, np.ndarray], bytes]) -> DataFrame:
+    """(text_id, name): what is made of each text's (src, len, literal) in order. Factors are gathered by text in the JVM,
+    so that Python sees batches of texts instead of a call for each."""
+    packed = factors.groupBy("text_id").agg(F.sort_array(F.collect_list(F.struct("phrase_no", "src", "len", "literal"))).alias("factors"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            edge, rows = batch.column(1).offsets.to_numpy(), batch.column(1).values
+            columns = [rows.field(i).to_numpy() for i in (1, 2, 3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([made(*[c[a:b] for c in columns]) for a, b in zip(edge[:-1], edge[1:])], pa.binary())], ["text_id", name])
+
+    return packed.mapInArrow(run, f"text_id long, {name} binary")
+
+
 def statistics(factors: DataFrame) -> DataFrame:
     """(text_id, bytes, factors, literals, longest, bytes_per_factor) of each text that has factors."""
     covered = F.greatest("len", F.lit(1))
@@ -209,13 +217,7 @@ def decode_gapped(files: DataFrame) -> DataFrame:
 
 def records(factors: DataFrame, wide: bool = False) -> DataFrame:
     """(text_id, records): each text's factors as records of fixed width."""
-
-    def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(table["phrase_no"].to_numpy(), kind="stable")
-        data = codec.write_records(*[table[c].to_numpy()[order] for c in ("src", "len", "literal")], wide)
-        return pa.table({"text_id": table["text_id"][:1], "records": pa.array([data], pa.binary())})
-
-    return factors.groupBy("text_id").applyInArrow(run, "text_id long, records binary")
+    return _in_order(factors, "records", lambda src, length, literal: codec.write_records(src, length, literal, wide))
 
 
 def from_records(records_: DataFrame, wide: bool = False) -> DataFrame:
