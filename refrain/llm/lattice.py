@@ -44,6 +44,7 @@ _SIGNS = [s for s in itertools.product((-0.5, 0.5), repeat=8) if sum(x < 0 for x
 _PAIRS = [[a if k == i else b if k == j else 0 for k in range(8)] for i, j in itertools.combinations(range(8), 2) for a in (-1, 1) for b in (-1, 1)]
 #: The 240 minimal vectors of E8.
 MINIMAL = np.array(_SIGNS + _PAIRS, np.float64)
+_TOWARDS = np.ascontiguousarray(MINIMAL.T, np.float32)
 
 
 def _d8(x: np.ndarray) -> np.ndarray:
@@ -78,7 +79,7 @@ def cells(unit: np.ndarray, table: int) -> np.ndarray:
     for x in blocks:
         c = decode(x)
         # |x - c - v|^2 is least where the product of x - c and v is greatest: all v are of one length
-        best = np.argpartition(-((x - c) @ MINIMAL.T), PROBES, axis=1)[:, :PROBES]
+        best = np.argpartition((c - x).astype(np.float32) @ _TOWARDS, PROBES, axis=1)[:, :PROBES]
         own.append(_hash(c))
         near.append(_hash(c[:, None] + MINIMAL[best]))
     join = lambda a, b: B.mix(a * np.uint64(0xD6E8FEB86659FD93) + b)
@@ -142,9 +143,11 @@ def _meet(parts: int, threshold: float):
                 u, v = u[near], v[near]
                 exact = np.einsum("ij,ij->i", x[u].astype(np.float64), x[v].astype(np.float64))
                 good = exact >= threshold - _EPS
-                out.append(np.rec.fromarrays([ids[u[good]], ids[v[good]], np.minimum(exact[good], 1)], names="a,b,c"))
-        found = np.unique(np.concatenate(out)) if out else np.rec.fromarrays([np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)], names="a,b,c")
-        return pa.table({"a": pa.array(found["a"], pa.int64()), "b": pa.array(found["b"], pa.int64()), "cosine": pa.array(found["c"], pa.float64())})
+                out.append((u[good] * len(x) + v[good], np.minimum(exact[good], 1)))
+        # a pair that meets by several probes is one
+        pair, at = np.unique(np.concatenate([np.zeros(0, np.int64), *[o[0] for o in out]]), return_index=True)
+        cosine = np.concatenate([np.zeros(0), *[o[1] for o in out]])[at]
+        return pa.table({"a": pa.array(ids[pair // len(x)], pa.int64()), "b": pa.array(ids[pair % len(x)], pa.int64()), "cosine": pa.array(cosine, pa.float64())})
 
     return run
 
