@@ -147,49 +147,53 @@ def split_edges(entries: np.ndarray, prefix: int, radius: int, s: int, lead: int
     value = (own & ((np.uint64(1) << rest) - np.uint64(1))) | (np.uint64(lead) << rest)
     label = np.arange(len(ids))
 
-    keys = [(value << np.uint64(32)) | at.astype(np.uint64)]
     hv, ha = value[home], at[home].astype(np.uint64)
-    keys += [((hv ^ np.uint64(1 << b)) << np.uint64(32)) | ha for b in range(BITS - prefix)]
-    keys = np.concatenate(keys)
+    keys = np.empty(len(at) + len(hv) * (BITS - prefix), np.uint64)
+    keys[: len(at)] = (value << np.uint64(32)) | at.astype(np.uint64)
+    for b in range(BITS - prefix):
+        keys[len(at) + b * len(hv) : len(at) + (b + 1) * len(hv)] = ((hv ^ np.uint64(1 << b)) << np.uint64(32)) | ha
     keys.sort()
     keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
-    member, key = (keys & np.uint64(0xFFFFFFFF)).astype(np.int64), keys >> np.uint64(32)
-    group = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]).astype(np.int64))))
+    member, key = (keys & np.uint64(0xFFFFFFFF)).astype(np.int32), (keys >> np.uint64(32)).astype(np.int32)
+    del keys
+    begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.append(begin, len(key)))
+    del key, begin
 
     def near(u: np.ndarray, v: np.ndarray) -> np.ndarray:
         ok = np.zeros(len(u), bool)
-        for a in range(0, len(u), 1 << 18):
-            ok[a : a + (1 << 18)] = np.bitwise_count(fps[u[a : a + (1 << 18)]] ^ fps[v[a : a + (1 << 18)]]).sum(1) <= radius
+        for a in range(0, len(u), 1 << 16):
+            x, y = u[a : a + (1 << 16)], v[a : a + (1 << 16)]
+            # most pairs differ in more bits than allowed in their first half already
+            half = np.flatnonzero(np.bitwise_count(fps[x, :2] ^ fps[y, :2]).sum(1) <= radius)
+            ok[a + half] = np.bitwise_count(fps[x[half]] ^ fps[y[half]]).sum(1) <= radius
         return ok
 
     def join(u: np.ndarray, v: np.ndarray) -> None:
         nonlocal label
         apart = label[u] != label[v]
-        pairs = np.unique(np.stack((np.minimum(u[apart], v[apart]), np.maximum(u[apart], v[apart]))), axis=1) if apart.any() else np.zeros((2, 0), np.int64)
-        ok = near(pairs[0], pairs[1])
-        label = local_components(label, pairs[0][ok], pairs[1][ok])
-
-    def open_groups() -> None:
-        """Leaves only members of groups that hold more than one component."""
-        nonlocal member, group
-        begin = np.flatnonzero(np.diff(group, prepend=-1))
-        if not len(begin):
-            return
-        mine = label[member]
-        mixed = np.minimum.reduceat(mine, begin) != np.maximum.reduceat(mine, begin)
-        stay = np.repeat(mixed, np.diff(np.append(begin, len(group))))
-        member, group = member[stay], group[stay]
-
-    open_groups()
+        u, v = u[apart], v[apart]
+        ok = near(u, v)
+        if ok.any():
+            label = local_components(label, u[ok], v[ok])
+
+    # a step pairs members that stand so far apart in their group: a group is dropped when it is through, and when all
+    # its members are of one component, so that steps cost what pairs there are
     step = 1
-    while len(member) > step:
-        same = group[step:] == group[:-step]
-        if not same.any():
+    while True:
+        stay = size > step
+        if step < 16 or step % 16 == 0:
+            begin = np.cumsum(size) - size
+            lowest, highest = (f.reduceat(label[member], begin) if len(begin) else begin for f in (np.minimum, np.maximum))
+            stay &= lowest != highest
+        if not stay.all():
+            member, size = member[np.repeat(stay, size)], size[stay]
+        if not len(size):
             break
+        group = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        same = group[step:] == group[:-step]
         join(member[step:][same], member[:-step][same])
         step += 1
-        if step < 16 or step % 16 == 0:
-            open_groups()
     inside = label != np.arange(len(ids))
     return ids[inside], ids[label[inside]]
 
@@ -197,7 +201,8 @@ def split_edges(entries: np.ndarray, prefix: int, radius: int, s: int, lead: int
 def _edges(prefix: int, radius: int):
     def run(table: pa.Table) -> pa.Table:
         s, lead = divmod(table.column("part")[0].as_py(), 1 << prefix)
-        entries = np.frombuffer(B.flat(table.column("entries"))[0].tobytes(), _ENTRY)
+        entries = np.concatenate([np.zeros(0, _ENTRY), *[np.frombuffer(B.flat(c)[0].tobytes(), _ENTRY) for c in table.column("entries").chunks]])
+        del table
         # a split of more than PART entries is split again by further bits, in memory: one part after another
         more = min(BITS - prefix - 1, max(0, math.ceil(math.log2(max(len(entries), 1) / PART))))
         found = []
@@ -211,6 +216,11 @@ def _edges(prefix: int, radius: int):
                 here = np.bitwise_count(own ^ ((lead << more) | tail)) <= 1
                 found.append(split_edges(entries[here], depth, radius, s, (lead << more) | tail))
         a, b = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+        if more:  # the parts' forests made one
+            ids, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+            label = local_components(np.arange(len(ids)), at[: len(a)], at[len(a) :])
+            inside = label != np.arange(len(ids))
+            a, b = ids[inside], ids[label[inside]]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run

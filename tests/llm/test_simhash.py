@@ -1,3 +1,5 @@
+import time
+
 import brute
 import numpy as np
 import pyarrow as pa
@@ -76,6 +78,23 @@ def test_parts_of_a_split_find_what_the_split_finds(monkeypatch):
         assert (components(prefix, part) == whole).all()
 
 
+def _entries(fps: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(fps), S._ENTRY)
+    out["node"], out["fp"] = np.arange(len(fps)), fps
+    return out
+
+
+def test_one_crowded_value_does_not_slow_the_others():
+    """Many values that two far fingerprints share, and one that 1500 share: no pair is near, and each is tried once."""
+    rng = np.random.default_rng(11)
+    fps = rng.integers(0, 256, (101_500, 32), dtype=np.uint8)
+    fps[1:100_000:2, :3] = fps[0:100_000:2, :3]
+    fps[100_000:, :3] = 7
+    began = time.process_time()
+    a, _ = S.split_edges(_entries(fps), 0, S.RADIUS, 0, 0)
+    assert len(a) == 0 and time.process_time() - began < 15
+
+
 def test_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, " .,; "), (4, "one word"), (5, "one word"), (None, "one word"), (6, "another text altogether"), (6, "another text altogether")]
     got = S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
