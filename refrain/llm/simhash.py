@@ -50,8 +50,8 @@ SEGMENTS = 16
 BITS = 24
 STRIDE = 2
 #: Fingerprints that one split of a table holds at about most, and that are compared in memory at a time.
-SPLIT = 1_600_000
-PART = 200_000
+SPLIT = 400_000
+PART = 60_000
 _ENTRY = np.dtype([("node", "<i8"), ("fp", "u1", 32)])
 _GAP = B.SPACE.copy()
 _GAP[33:48] = _GAP[58:65] = _GAP[91:97] = _GAP[123:127] = True

@@ -1,4 +1,5 @@
 import time
+import tracemalloc
 
 import brute
 import numpy as np
@@ -95,6 +96,24 @@ def test_one_crowded_value_does_not_slow_the_others():
     assert len(a) == 0 and time.process_time() - began < 15
 
 
+def test_a_task_holds_little_at_once():
+    """One split of 190,000 fingerprints in under 150 MB besides its rows, with the pairs that are there."""
+    rng = np.random.default_rng(12)
+    fps = rng.integers(0, 256, (190_000, 32), dtype=np.uint8)
+    fps[95_000:] = fps[:95_000]
+    fps[95_000:, 31] ^= 1
+    table = pa.table({"part": pa.array([0]), "entries": pa.array([_entries(fps).tobytes()], pa.binary())})
+    tracemalloc.start()
+    try:
+        edges = S._edges(0, S.RADIUS)(table)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    print(f"{peak / 1e6:.0f} MB")
+    assert {(min(p), max(p)) for p in zip(edges["a"].to_pylist(), edges["b"].to_pylist())} >= {(i, i + 95_000) for i in range(95_000)}
+    assert peak < 150e6
+
+
 def test_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, " .,; "), (4, "one word"), (5, "one word"), (None, "one word"), (6, "another text altogether"), (6, "another text altogether")]
     got = S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
