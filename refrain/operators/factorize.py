@@ -1,7 +1,7 @@
 """Factorizations of tables of texts, what is counted about them, and back to texts.
 
-A row is a text; texts are factorized in batches of bounded size inside ``mapInArrow``, so nothing is shuffled and a
-partition is never held whole. A single text is one unit of work.
+A row is a text and one unit of work: kernels run inside the JVM, a text at a time, so nothing is shuffled and a
+partition is never held whole. What a text gives can stay in its row as an array (packed) or become rows of its own.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codec, factors as K
+from ..functions.jvm import kernel
 from ..functions.suffixes import MAX_TEXTS, Suffixes
 
 FACTORS = "text_id long, phrase_no long, pos long, src long, len long, literal long"
@@ -35,6 +36,16 @@ def indexed(batches: Iterator[pa.RecordBatch], size: int = BATCH) -> Iterator[tu
             total += len(text or b"")
 
 
+def _made(texts: DataFrame, what: str, name: str, source: str = "data", **options) -> DataFrame:
+    """(text_id, name): what a kernel makes of each row's source column."""
+    return texts.select("text_id", kernel(texts.sparkSession, what, **options)(F.col(source)).alias(name))
+
+
+def _rows(texts: DataFrame, what: str, source: str = "data", **options) -> DataFrame:
+    """A row for each element of what a kernel makes of each text, the text's id in front."""
+    return texts.select("text_id", F.inline(kernel(texts.sparkSession, what, **options)(F.col(source))))
+
+
 def _factor_rows(ids: np.ndarray, f: dict[str, np.ndarray]) -> pa.RecordBatch:
     names = ["text_id", "phrase_no", "pos", "src", "len", "literal"]
     return pa.RecordBatch.from_arrays([pa.array(ids[f["text"]].astype(np.int64)), *[pa.array(f[n].astype(np.int64)) for n in names[1:]]], names)
@@ -45,55 +56,49 @@ def factorize(texts: DataFrame, sections: int = 1, min_ref_len: int = 1) -> Data
 
     sections > 1 cuts factors at as many borders, as factorizing parts side by side does; a match shorter than
     min_ref_len becomes a literal. Empty texts have no rows."""
+    return _rows(texts, "factors", sections=sections, least=min_ref_len)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, _, index in indexed(batches):
-            yield _factor_rows(ids, K.exact(index, sections, min_ref_len))
 
-    return texts.select("text_id", "data").mapInArrow(run, FACTORS)
+def packed(texts: DataFrame, tau: int | None = None, mode: str = "lpf_opt", fill: str = "greedy") -> DataFrame:
+    """(text_id, factors): each text's factors in order as one array, exact, or approximate where tau is given."""
+    _checked(mode, fill, tau)
+    return _made(texts, "factors", "factors", tau=tau or 0, mode=mode, fill=fill)
 
 
 def approximate(texts: DataFrame, tau: int = 32, mode: str = "lpf_opt", fill: str = "greedy") -> DataFrame:
     """Factors from phrases between sampled places, in the form of factorize(); tau is the density of the samples."""
-    _checked(mode, fill)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, _, index in indexed(batches):
-            yield _factor_rows(ids, K.approximate(index, tau, mode, fill))
-
-    return texts.select("text_id", "data").mapInArrow(run, FACTORS)
+    _checked(mode, fill, tau)
+    return _rows(texts, "factors", tau=tau, mode=mode, fill=fill)
 
 
-def _checked(mode: str, fill: str = "greedy") -> None:
+def _checked(mode: str, fill: str = "greedy", tau: int | None = None) -> None:
     if mode not in K.PHRASES or fill not in ("greedy", "greedy_naive"):
         raise ValueError(f"unknown mode: {mode!r}, {fill!r}")
+    if tau is not None and tau < 1:
+        raise ValueError("tau is at least 1")
 
 
 def counts(texts: DataFrame, tau: int | None = None, mode: str = "lpf_opt", fill: str = "greedy") -> DataFrame:
     """(text_id, bytes, factors, literals, encoded_bits) without factor rows leaving the kernel: exact, or approximate
     where tau is given. Empty texts have a row of zeros."""
-    _checked(mode, fill)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, data, index in indexed(batches):
-            f = K.exact(index) if tau is None else K.approximate(index, tau, mode, fill)
-            n = np.bincount(f["text"], minlength=len(ids))
-            literal = np.bincount(f["text"], f["len"] == 0, minlength=len(ids))
-            edge = np.concatenate(([0], np.cumsum(n)))
-            bits = [codec.stream_bits(f["len"][a:b], (f["pos"] - f["src"])[a:b]) for a, b in zip(edge[:-1], edge[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids.astype(np.int64), np.array([len(t) for t in data], np.int64), n.astype(np.int64), literal.astype(np.int64), np.array(bits, np.int64))], ["text_id", "bytes", "factors", "literals", "encoded_bits"])
-
-    return texts.select("text_id", "data").mapInArrow(run, "text_id long, bytes long, factors long, literals long, encoded_bits long")
+    _checked(mode, fill, tau)
+    return _rows(texts, "counts", tau=tau or 0, mode=mode, fill=fill)
 
 
 def decode(factors: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """(text_id, data) of factors; with the texts' ids given, those without factors are empty."""
-    out = _in_order(factors, "data", K.decode)
+    rows = factors.groupBy("text_id").agg(F.sort_array(F.collect_list(F.struct("phrase_no", "src", "len", "literal"))).alias("factors"))
+    out = unpacked(rows)
     if texts is not None:
         out = texts.select("text_id").distinct().join(out, "text_id", "left").select("text_id", F.coalesce("data", F.lit(b"")).alias("data"))
     return out
 
 
+def unpacked(packed_: DataFrame) -> DataFrame:
+    """(text_id, data) of packed factors."""
+    return _made(packed_, "decode", "data", "factors")
+
+
 def _in_order(factors: DataFrame, name: str, made: Callable[[np.ndarray, np.ndarray, np.ndarray], bytes]) -> DataFrame:
     """(text_id, name): what is made of each text's (src, len, literal) in order. Factors are gathered by text in the JVM,
     so that Python sees batches of texts instead of a call for each."""
@@ -142,18 +147,25 @@ def _per_text(texts: DataFrame, schema: str, rows: Callable[[Suffixes, int, byte
 
 def phrases(texts: DataFrame, tau: int = 32, mode: str = "lpf_opt") -> DataFrame:
     """(text_id, beg, end, src) of the phrases between sampled places."""
-    _checked(mode)
-    return _per_text(texts, "beg long, end long, src long", lambda index, k, _: [tuple(int(x - index.offs[k]) for x in p) for p in K.phrases(index, k, tau, mode)])
+    _checked(mode, tau=tau)
+    return _rows(texts, "phrases", tau=tau, mode=mode)
+
+
+def packed_phrases(texts: DataFrame, tau: int = 32, mode: str = "lpf_opt") -> DataFrame:
+    """(text_id, phrases): the same as one array for each text."""
+    _checked(mode, tau=tau)
+    return _made(texts, "phrases", "phrases", tau=tau, mode=mode)
 
 
 def select_phrases(phrases_: DataFrame) -> DataFrame:
     """Of each text's phrases (text_id, beg, end, src), ones that don't overlap and cover as much."""
+    rows = F.struct(*[F.col(c).cast("long").alias(c) for c in ("beg", "end", "src")])
+    return select_packed(phrases_.groupBy("text_id").agg(F.sort_array(F.collect_list(rows)).alias("phrases")))
 
-    def run(table: pa.Table) -> pa.Table:
-        chosen = K.select(list(zip(*(table[c].to_pylist() for c in ("beg", "end", "src")))))
-        return pa.table({"text_id": pa.array([table["text_id"][0].as_py()] * len(chosen), pa.int64()), **{c: pa.array([p[i] for p in chosen], pa.int64()) for i, c in enumerate(("beg", "end", "src"))}})
 
-    return phrases_.select("text_id", "beg", "end", "src").groupBy("text_id").applyInArrow(run, "text_id long, beg long, end long, src long")
+def select_packed(packed_: DataFrame) -> DataFrame:
+    """The same of packed phrases."""
+    return _rows(packed_, "select", "phrases")
 
 
 def phrase_statistics(phrases_: DataFrame, texts: DataFrame) -> DataFrame:
@@ -164,15 +176,24 @@ def phrase_statistics(phrases_: DataFrame, texts: DataFrame) -> DataFrame:
     marked = phrases_.withColumn("gap", (F.col("beg") > F.coalesce(F.lag("end").over(by), F.lit(0))).cast("long"))
     per = marked.groupBy("text_id").agg(F.count("*").alias("phrases"), F.sum(F.col("end") - F.col("beg")).alias("covered"), F.sum("gap").alias("inner_gaps"), F.max("end").alias("last"))
     out = texts.select("text_id", F.octet_length("data").cast("long").alias("bytes")).join(per, "text_id", "left").na.fill(0, ["phrases", "covered", "inner_gaps", "last"])
-    gaps = F.col("inner_gaps") + (F.col("last") < F.col("bytes")).cast("long")
-    left = F.col("bytes") - F.col("covered")
-    return out.select("text_id", "bytes", "phrases", "covered", gaps.alias("gaps"), (left / F.nullif(gaps, F.lit(0))).alias("mean_gap"), (F.col("covered") / F.nullif(F.col("phrases"), F.lit(0))).alias("mean_phrase"), (left / F.nullif(F.col("bytes"), F.lit(0))).alias("gap_share"))
+    return _means(out.withColumn("gaps", F.col("inner_gaps") + (F.col("last") < F.col("bytes")).cast("long")))
+
+
+def text_statistics(texts: DataFrame, tau: int = 32, mode: str = "lpf_opt") -> DataFrame:
+    """phrase_statistics() of each text's own phrases, without phrase rows leaving the kernel."""
+    _checked(mode, tau=tau)
+    return _means(_rows(texts, "statistics", tau=tau, mode=mode))
+
+
+def _means(counted: DataFrame) -> DataFrame:
+    left, gaps = F.col("bytes") - F.col("covered"), F.col("gaps")
+    return counted.select("text_id", "bytes", "phrases", "covered", "gaps", (left / F.nullif(gaps, F.lit(0))).alias("mean_gap"), (F.col("covered") / F.nullif(F.col("phrases"), F.lit(0))).alias("mean_phrase"), (left / F.nullif(F.col("bytes"), F.lit(0))).alias("gap_share"))
 
 
 def gapped(texts: DataFrame, tau: int = 32, mode: str = "lpf_opt") -> DataFrame:
     """(text_id, step, kind, src, len): gaps (src -1) and copies in turn."""
-    _checked(mode)
-    return _per_text(texts, "step long, kind string, src long, len long", lambda index, k, _: [(i, kind, -1 if kind == "gap" else a, a if kind == "gap" else b) for i, (kind, a, b) in enumerate(K.gapped(index, k, tau, mode))])
+    _checked(mode, tau=tau)
+    return _rows(texts, "gapped", tau=tau, mode=mode)
 
 
 def encode_stream(texts: DataFrame) -> DataFrame:
@@ -201,18 +222,13 @@ def decode_stream(streams: DataFrame) -> DataFrame:
 
 def encode_gapped(texts: DataFrame, tau: int = 32, mode: str = "lpf_opt", min_copy: int = codec.MIN_COPY) -> DataFrame:
     """(text_id, file): the gapped factorization as bytes."""
-    _checked(mode)
-    return _per_text(texts, "file binary", lambda index, k, text: [(codec.write_gapped(text, K.gapped(index, k, tau, mode), min_copy),)])
+    _checked(mode, tau=tau)
+    return _made(texts, "gapped_file", "file", tau=tau, mode=mode, least=min_copy)
 
 
 def decode_gapped(files: DataFrame) -> DataFrame:
     """(text_id, data) of gapped files."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([codec.read_gapped(x) for x in batch.column(1).to_pylist()], pa.binary())], ["text_id", "data"])
-
-    return files.select("text_id", "file").mapInArrow(run, "text_id long, data binary")
+    return _made(files, "read_gapped", "data", "file")
 
 
 def records(factors: DataFrame, wide: bool = False) -> DataFrame:
