@@ -3,22 +3,55 @@
 Boxes are closed; weights below the box's own count. Space is cut into cells (strategy "grid"), stripes along x
 ("stripe") or stripes of equally many points ("quantile"), and points meet boxes by an equality join on those, so no
 strategy compares all pairs. In the grid a cell that a box covers whole answers by its lightest point and count alone;
-only cells on the border are searched point by point.
+only cells on the border are searched point by point. A stripe's boxes are held against its points by a tree. Stripes of
+equally many points leave out points no lighter than any box's weight: none of them lies in a box.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.boxes import Tree
+
 SIDE = 1 << 14
 STRIPE = 128
+#: Points that a stripe of equally many points holds at about most.
+HELD = 200_000
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
 def _cells(low: Column, high: Column, side: int) -> Column:
     return F.sequence(F.floor(low / side), F.floor(high / side))
 
 
+def _searched(placed: DataFrame, spread: DataFrame, on: list[str]) -> DataFrame:
+    """(query_id, light, n): each stripe's boxes held against its points, whole numbers, by a tree."""
+
+    def run(points: pa.Table, boxes: pa.Table) -> pa.Table:
+        columns = lambda t, *names: np.stack([t[c].to_numpy() for c in names], axis=1).astype(np.int64)
+        n, light, best = np.zeros(boxes.num_rows, np.int64), np.zeros(boxes.num_rows, np.int64), np.zeros((0, 3), np.int64)
+        if points.num_rows and boxes.num_rows:
+            tree = Tree(columns(points, "x", "y", "w"))
+            limit = columns(boxes, "limit")
+            some = limit[:, 0] > np.iinfo(np.int64).min  # nothing is lighter than the least number
+            least = np.concatenate((columns(boxes, "x1", "y1"), np.full((len(limit), 1), np.iinfo(np.int64).min)), axis=1)
+            n[some], light[some] = tree.answer(least[some], np.concatenate((columns(boxes, "x2", "y2"), limit - some[:, None]), axis=1)[some])
+            best = tree.points
+        hit = np.flatnonzero(n)
+        found = best[light[hit]]
+        return pa.table({"query_id": boxes["query_id"].take(pa.array(hit)), "w": found[:, 2], "x": found[:, 0], "y": found[:, 1], "n": n[hit]})
+
+    of = spread.schema["query_id"].dataType.simpleString()
+    found = placed.groupBy(*on).cogroup(spread.groupBy(*on)).applyInArrow(run, f"query_id {of}, w long, x long, y long, n long")
+    kind = dict(placed.dtypes)
+    return found.select("query_id", F.struct(*[F.col(c).cast(kind[c]).alias(c) for c in ("w", "x", "y")]).alias("light"), "n")
+
+
 def lighter_points(points: DataFrame, boxes: DataFrame, strategy: str = "grid", side: int | None = None, key: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, found, hits, x, y, weight): for each box (query_id, x1, x2, y1, y2, weight) how many points (x, y, weight)
     with less weight lie in it, and the lightest (of equally light ones the least x, then y; null where there is none).
@@ -45,14 +78,20 @@ def lighter_points(points: DataFrame, boxes: DataFrame, strategy: str = "grid",
     else:
         if strategy == "stripe":
             s = side or STRIPE
-            placed = p.withColumn("cx", F.floor(F.col("x") / s))
-            spread = q.withColumn("cx", F.explode(_cells(F.col("x1"), F.col("x2"), s)))
+            stripe = lambda x: F.floor(x / s)
+        else:
+            p = p.where(F.col("w") < F.lit(q.agg(F.max("limit")).first()[0]))  # one number
+            many = max(side or 64, math.ceil(p.count() / HELD))
+            borders = sorted(set(p.approxQuantile("x", [k / many for k in range(1, many)], min(0.001, 0.1 / many))))  # as many numbers as stripes
+            array = F.array(*[F.lit(b) for b in borders]).cast("array<double>")
+            stripe = lambda x: F.size(F.filter(array, lambda b: b < x))
+        placed = p.withColumn("cx", stripe(F.col("x")))
+        spread = q.withColumn("cx", F.explode(F.sequence(stripe(F.col("x1")), stripe(F.col("x2")))))
+        if all(t in _WHOLE for df in (placed, q) for c, t in df.dtypes if c not in (*key, "query_id", "cx")):
+            known = lambda df, *names: df.dropna(subset=[*key, *names])
+            hits = _searched(known(placed, "x", "y", "w"), known(spread, "limit"), [*key, "cx"])
         else:
-            borders = sorted(set(points.approxQuantile("x", [k / (side or 64) for k in range(1, side or 64)], 0.001)))  # as many numbers as stripes
-            stripe = lambda x: sum(((x > b).cast("int") for b in borders), F.lit(0))
-            placed = p.withColumn("cx", stripe(F.col("x")))
-            spread = q.withColumn("cx", F.explode(F.sequence(stripe(F.col("x1")), stripe(F.col("x2")))))
-        hits = spread.join(placed, [*key, "cx"]).where(inside).groupBy("query_id").agg(light, F.count("*").alias("n"))
+            hits = spread.join(placed, [*key, "cx"]).where(inside).groupBy("query_id").agg(light, F.count("*").alias("n"))
     best = hits.groupBy("query_id").agg(F.min("light").alias("light"), F.sum("n").alias("n"))
     out = boxes.select("query_id").join(best, "query_id", "left")
     return out.select("query_id", F.col("light").isNotNull().alias("found"), F.coalesce("n", F.lit(0)).cast("long").alias("hits"), F.col("light.x").alias("x"), F.col("light.y").alias("y"), F.col("light.w").alias("weight"))

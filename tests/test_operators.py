@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from refrain import cli
+from refrain.functions.boxes import Tree
 from refrain.operators import factorize as Z
 from refrain.operators import positions as P
 from refrain.operators import ranges as R
@@ -145,6 +146,45 @@ def test_no_strategy_compares_all_pairs(spark, sf):
         assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("n, span", [(0, 5), (1, 5), (7, 2), (600, 6), (3000, 1000)])
+def test_tree_by_brute_force(n, span):
+    rng = np.random.default_rng(n)
+    points = rng.integers(-span, span, (n, 3))
+    if n == 7:
+        points[:2] = np.iinfo(np.int64).max
+    least = rng.integers(-span - 2, span + 2, (700, 3))
+    most = least + rng.integers(-1, 2 * span, least.shape)
+    most[:3] = np.iinfo(np.int64).max
+    tree = Tree(points)
+    for b, t, count, light in zip(least, most, *tree.answer(least, most)):
+        inside = points[((points >= b) & (points <= t)).all(1)]
+        assert count == len(inside) and (light == n) == (not len(inside))
+        assert not len(inside) or tuple(tree.points[light][[2, 0, 1]]) == min(map(tuple, inside[:, [2, 0, 1]]))
+
+
+@pytest.mark.parametrize("strategy", ["stripe", "quantile"])
+@pytest.mark.parametrize("kind", ["long", "int", "double"])
+def test_stripes_of_odd_points_and_boxes(spark, strategy, kind):
+    """Nulls, equal boxes' ids, boxes without points, extremes, keys."""
+    some = 1 if kind != "double" else 1.0
+    points = [(x * some, y * some, w * some, c) for x, y, w, c in [(1, 1, 5, 0), (1, 1, 3, 0), (1, 2, 3, 0), (2, 9, 0, 1), (-4, 0, 1, 1), (1, 1, -9, None)]] + [(None, some, some, 0), (some, None, some, 0), (some, some, None, 0)]
+    boxes = [(q, *(v * some for v in r[:5]), r[5]) for q, r in [(1, (0, 9, 0, 9, 4, 0)), (1, (2, 2, 0, 9, 4, 1)), (2, (3, 2, 0, 9, 9, 0)), (3, (-9, 9, -9, 9, 9, 1)), (4, (-9, 9, -9, 9, -100, 0)), (5, (0, 9, 0, 9, 9, None))]] + [(6, some, some, some, some, None, 0)]
+    names = "c int, query_id long" if kind == "long" else "c int, query_id int"
+    p = spark.createDataFrame(points, f"x {kind}, y {kind}, weight {kind}, c int")
+    b = spark.createDataFrame(boxes, f"{names.split(', ')[1]}, x1 {kind}, x2 {kind}, y1 {kind}, y2 {kind}, weight {kind}, c int")
+    got = {(r.query_id, r.found, r.hits, r.x, r.y, r.weight) for r in R.lighter_points(p, b, strategy, 2, ("c",)).collect()}
+    assert got == {(1, True, 3, 2, 9, 0), (2, False, 0, None, None, None), (3, True, 2, 2, 9, 0), (4, False, 0, None, None, None), (5, False, 0, None, None, None), (6, False, 0, None, None, None)}
+    assert R.lighter_points(p, b, strategy, 2).schema["x"].dataType == p.schema["x"].dataType
+    assert R.lighter_points(p, b.limit(0), strategy).count() == 0 and R.lighter_points(p.limit(0), b, strategy).where("found").count() == 0
+
+
+@pytest.mark.parametrize("name", ["lighter_point_stripe", "lighter_point_quantile"])
+def test_no_stripe_compares_all_its_pairs(spark, sf, name):
+    """Boxes and points of a stripe aren't joined: their pairs grow as the square of the tables."""
+    plan = core.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "cx" not in "".join(x for x in plan.split("\n") if "Join" in x)
+
+
 def test_located_patterns_by_brute_force(spark):
     rng = random.Random(5)
     rows = [repetitive(rng, 200) for _ in range(12)]
