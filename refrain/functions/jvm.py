@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
@@ -34,10 +35,11 @@ def _class(spark: SparkSession):
         compiler.cook((Path(__file__).parent / "TextKernel.java").read_text())
         folder = tempfile.mkdtemp(prefix="refrain-jar-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        with zipfile.ZipFile(f"{folder}/refrain-kernels.jar", "w") as jar:
+        path = f"{folder}/refrain-{uuid.uuid4().hex}.jar"  # jars of several sessions need names of their own
+        with zipfile.ZipFile(path, "w") as jar:
             for name, code in dict(compiler.getBytecodes()).items():
                 jar.writestr(name.replace(".", "/") + ".class", bytes(code))
-        spark.sql(f"ADD JAR '{folder}/refrain-kernels.jar'")
+        spark.sql(f"ADD JAR '{path}'")
         _compiled[key] = compiler.getClassLoader().loadClass("refrain.TextKernel")
     return _compiled[key]
 
