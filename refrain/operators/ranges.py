@@ -47,6 +47,9 @@ def _searched(placed: DataFrame, spread: DataFrame, on: list[str]) -> DataFrame:
         return pa.table({"query_id": boxes["query_id"].take(pa.array(hit)), "w": found[:, 2], "x": found[:, 0], "y": found[:, 1], "n": n[hit]})
 
     of = spread.schema["query_id"].dataType.simpleString()
+    # by number, as small stripes would else be put together into few tasks, however long their search takes
+    many = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed, spread = placed.repartition(many, *on), spread.repartition(many, *on)
     found = placed.groupBy(*on).cogroup(spread.groupBy(*on)).applyInArrow(run, f"query_id {of}, w long, x long, y long, n long")
     kind = dict(placed.dtypes)
     return found.select("query_id", F.struct(*[F.col(c).cast(kind[c]).alias(c) for c in ("w", "x", "y")]).alias("light"), "n")
